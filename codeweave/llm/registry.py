@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweave.llm import warc
+from codeweave.llm import mixing, warc
 
-QUERIES = {"op1_warc": warc.op1_warc}
+QUERIES = {"op1_warc": warc.op1_warc, "op8_mixing": mixing.op8_mixing}
 SQL = {"op1_warc": warc.OP1_SQL}
