@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweave.llm import chat, mixing, warc
+from codeweave.llm import chat, mixing, tokens, warc
 
-QUERIES = {"op1_warc": warc.op1_warc, "op6_chat": chat.op6_chat, "op8_mixing": mixing.op8_mixing}
+QUERIES = {"op1_warc": warc.op1_warc, "op5_tokens": tokens.op5_tokens, "op6_chat": chat.op6_chat, "op8_mixing": mixing.op8_mixing}
 SQL = {"op1_warc": warc.OP1_SQL, "op6_chat": chat.OP6_SQL}
