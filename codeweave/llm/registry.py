@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweave.llm import chat, mixing, tokens, warc
+from codeweave.llm import chat, mixing, neardup, tokens, toxicity, warc
 
-QUERIES = {"op1_warc": warc.op1_warc, "op5_tokens": tokens.op5_tokens, "op6_chat": chat.op6_chat, "op8_mixing": mixing.op8_mixing}
+QUERIES = {"op1_warc": warc.op1_warc, "op2_toxicity": toxicity.op2_toxicity, "op5_tokens": tokens.op5_tokens, "op6_chat": chat.op6_chat, "op8_mixing": mixing.op8_mixing, "op9_neardup": neardup.op9_neardup}
 SQL = {"op1_warc": warc.OP1_SQL, "op6_chat": chat.OP6_SQL}
