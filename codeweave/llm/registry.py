@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweave.llm import chat, mixing, neardup, tokens, toxicity, warc
+from codeweave.llm import caps, chat, leaks, mixing, neardup, tokens, toxicity, warc
 
-QUERIES = {"op1_warc": warc.op1_warc, "op2_toxicity": toxicity.op2_toxicity, "op5_tokens": tokens.op5_tokens, "op6_chat": chat.op6_chat, "op8_mixing": mixing.op8_mixing, "op9_neardup": neardup.op9_neardup}
-SQL = {"op1_warc": warc.OP1_SQL, "op6_chat": chat.OP6_SQL}
+QUERIES = {"op1_warc": warc.op1_warc, "op2_toxicity": toxicity.op2_toxicity, "op4_leaks": leaks.op4_leaks, "op5_tokens": tokens.op5_tokens, "op6_chat": chat.op6_chat, "op8_mixing": mixing.op8_mixing, "op9_neardup": neardup.op9_neardup, "op10_caps": caps.op10_caps}
+SQL = {"op1_warc": warc.OP1_SQL, "op6_chat": chat.OP6_SQL, "op10_caps": caps.OP10_SQL}
