@@ -197,8 +197,6 @@ def linked(heads: DataFrame, threshold: float) -> DataFrame:
     rows = rows.select("vec_id", "cap", block.alias("block"), side.alias("side"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
         def work(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             block = t["block"].to_numpy()
             ids, cap, side, times = (t[c].to_numpy() for c in ("vec_id", "cap", "side", "times"))
@@ -216,19 +214,8 @@ def linked(heads: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(v), np.int32)), pa.array(v), pa.array(none), pa.array(n)], ["kind", "a", "b", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64))], ["kind", "a", "b", "n"])
 
-        for batch in batches:
-            t = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches(max_chunksize=1 << 30)
-            if not t:
-                continue
-            t = t[0]
-            block = t["block"].to_numpy()
-            other = np.flatnonzero(block != block[-1])
-            start = int(other[-1]) + 1 if len(other) else 0
-            if start:
-                yield from work(t.slice(0, start))
-            held = t.slice(start)
-        if held is not None and held.num_rows:
-            yield from work(held)
+        for t in shared.grouped(batches, "block"):
+            yield from work(t)
 
     joined = rows.join(heads.select("vec_id", "unit", "caps", "times"), "vec_id").repartition(F.col("block")).sortWithinPartitions("block")
     return joined.select("block", "cap", "vec_id", "side", "times", "unit", "caps").mapInArrow(each, RESULT)

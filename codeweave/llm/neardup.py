@@ -236,8 +236,6 @@ def candidates(buckets: DataFrame, reps: DataFrame, labels: DataFrame | None) ->
     forest = labels is None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
         def work(t: pa.RecordBatch) -> pa.RecordBatch:
             block = t["block"].to_numpy()
             ids, bucket, side, label = (t[c].to_numpy() for c in ("doc_id", "bucket", "side", "label"))
@@ -252,18 +250,7 @@ def candidates(buckets: DataFrame, reps: DataFrame, labels: DataFrame | None) ->
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        for batch in batches:
-            t = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches(max_chunksize=1 << 30)
-            if not t:
-                continue
-            t = t[0]
-            block = t["block"].to_numpy()
-            start = int(np.searchsorted(-(block != block[-1]).astype(int), 0)) if block[0] != block[-1] else 0
-            if start:
-                yield work(t.slice(0, start))
-            held = t.slice(start)
-        if held is not None and held.num_rows:
-            yield work(held)
+        return map(work, shared.grouped(batches, "block"))
 
     joined = blocks.join(facts, "doc_id").repartition(F.col("block")).sortWithinPartitions("block")
     return joined.select("block", "bucket", "doc_id", "side", "label", "sig").mapInArrow(each, "a long, b long").distinct()

@@ -6,13 +6,19 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 
+#: Arrow batches for Python workers: both sides of the pipe hold a few at a time.
+BATCH_BYTES = 8 << 20
+
 #: A side is broadcast only when a count has shown that it has at most so many (narrow) rows.
 BROADCAST_ROWS = 10_000
 
@@ -47,7 +53,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors unless their import path has it already."""
+    """Readies a session for Python stages: the package on the executors unless their import path has it, small batches."""
     here = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] + [os.getcwd()]
     sc = spark.sparkContext
     if str(ROOT) in here or getattr(sc, "_codeweave_shipped", False):
@@ -58,3 +64,23 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(ROOT))
     sc.addPyFile(f.name)
     sc._codeweave_shipped = True
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that are sorted by an integer column → batches that hold all rows of each of their values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch[column].to_numpy()
+        other = np.flatnonzero(key != key[-1])
+        start = int(other[-1]) + 1 if len(other) else 0
+        if held and held[-1][column][0].as_py() != key[0]:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+        if start:
+            yield from pa.Table.from_batches([*held, batch.slice(0, start)]).combine_chunks().to_batches()
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
