@@ -54,6 +54,7 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Readies a session for Python stages: the package on the executors unless their import path has it, small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     here = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] + [os.getcwd()]
     sc = spark.sparkContext
     if str(ROOT) in here or getattr(sc, "_codeweave_shipped", False):
