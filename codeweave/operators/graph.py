@@ -71,7 +71,7 @@ def _small_pagerank(e: pd.DataFrame, ids: list, mode: str, damping: float, round
 
 
 def pagerank(edges: DataFrame, v: DataFrame, mode: str = "fixed", damping: float = 0.85, rounds: int = 100) -> DataFrame:
-    """(id, pagerank) on the reversed graph: who is called by important code ranks high.
+    """(id, pagerank) on the reversed graph: who calls important code ranks high.
 
     pr(v) = (1 - d) / n + d * sum over v → c of pr(c) / in_degree(c). "fixed": so many rounds, nothing redistributed;
     "standard": what vertices without callers hold is spread evenly, and rounds end at a tolerance.
@@ -147,7 +147,7 @@ def betweenness(edges: DataFrame, v: DataFrame, exact: int = schemas.EXACT_VERTI
                         owed[x] += paths[x] / paths[y] * (1 + owed[y])
                     if y != s:
                         total[y] = total.get(y, 0.0) + owed[y]
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())})
+        yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype=float)})
 
     tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
     parts = sources.select("id").repartition(tasks).mapInPandas(each, "id string, part double")

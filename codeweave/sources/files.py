@@ -69,9 +69,11 @@ def discover(spark: SparkSession, root: str, languages=tuple(schemas.LANGUAGES.v
     base = Path(root).resolve()
     ignore = (base / ".gitignore").read_text(errors="replace").splitlines() if (base / ".gitignore").exists() else []
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(base.as_uri())
-    rel = F.regexp_replace(F.url_decode("path"), "^file:/+" + re.escape(str(base).lstrip("/")) + "/", "")
-    rows = files.select(rel.alias("path"), "content")
-    return selected(rows, languages, excluded, ignore).select("path", "language", "content")
+    rel = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+" + re.escape(str(base).lstrip("/")) + "/", "")
+    # The scan passes over empty files; the listing, which the driver has anyway, names them too.
+    names = spark.createDataFrame([(n,) for n in files.inputFiles()], "raw string").select(rel(F.col("raw")).alias("path"))
+    read = files.select(rel(F.col("path")).alias("path"), "content")
+    return selected(names, languages, excluded, ignore).join(read, "path", "left").select("path", "language", F.coalesce("content", F.lit(b"")).alias("content"))
 
 
 def source_text(root: str, path: str) -> str:
