@@ -13,10 +13,13 @@ J(x, y) = sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i).
    registers; it passes on a spanning forest of its pairs from MARGIN on, the most similar first: a link for every
    member, not for every pair.
 4. Passed pairs are verified: exact J over all shingles of both texts. Verified links make components.
-5. What verification rejected may hide links, so buckets are read once more, now with the components: pairs of
-   different components from MARGIN on are passed, all of them, and verified. Components of all links are the
-   classes. (Pairs within a component can't change it.) A link is lost only if an estimate of 125 registers falls
-   below MARGIN at a true 0.8, four standard errors off.
+5. All passed pairs, verified or not, make clusters: every pair from MARGIN on that shares a band lies in one. Clusters
+   of several components are worked on in blocks once more, now with the shingles: pairs of different components from
+   MARGIN on are verified, the most similar first, and those that a link found before has joined are left out. A block
+   passes on its links, at most one for each member. Components of all links are the classes. A link is lost only if an
+   estimate of 125 registers falls below MARGIN at a true 0.8, four standard errors off.
+
+Texts aren't shuffled: a bitmap of fixed size says which documents may be in a passed pair, and only their shingles are.
 
 Defined results: null texts and texts without words are alone in their class; texts of 1 to 4 words have one shingle;
 rows that repeat an id fall together under it; empty tables give no rows; other columns are ignored.
@@ -176,91 +179,127 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def _pairs(ids: np.ndarray, sig: np.ndarray, side: np.ndarray, label: np.ndarray, bucket: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A block's candidate pairs. side: 0 in the first part of the bucket only, 1 in the second, 2 in a single part."""
-    left = np.flatnonzero(side != 1)
-    right = np.flatnonzero(side != 0)
-    if not len(left) or not len(right):
-        return ids[:0], ids[:0]
-    keys = band_keys(sig)
-    band = int(np.flatnonzero(keys[left[0]].view(np.int64) == bucket)[0])
+def _alike(sig: np.ndarray, side: np.ndarray, keys: np.ndarray | None, band: int, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """A block's pairs of places from MARGIN on, the most similar first.
+
+    side: 0 in the first part only, 1 in the second, 2 in a single part. keys: pairs that share a band before `band` are
+    left out. label: pairs of equal labels are left out.
+    """
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     found_a, found_b, found_e = [], [], []
     for at, x in enumerate(left):
         other = right[at + 1 :] if side[x] == 2 else right
-        other = other[label[other] != label[x]] if len(other) else other
-        if not len(other):
-            continue
-        # A pair belongs to the first band it shares.
-        if band:
+        if label is not None:
+            other = other[label[other] != label[x]]
+        if band and keys is not None:
             other = other[~(keys[other, :band] == keys[x, :band]).any(axis=1)]
         e = (sig[other] == sig[x]).sum(axis=1)
         ok = e >= MARGIN * REGISTERS
         found_a.append(np.full(int(ok.sum()), x))
         found_b.append(other[ok])
         found_e.append(e[ok])
-    if not found_a:
-        return ids[:0], ids[:0]
-    a, b, e = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_e)
-    if forest:
-        order = np.argsort(-e, kind="stable")
-        a, b = a[order], b[order]
-        keep = _forest(a, b, len(ids))
-        a, b = a[keep], b[keep]
-    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-
-
-def candidates(buckets: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Distinct pairs (a, b) to verify.
-
-    buckets (bucket, doc_id, n) of the buckets with n >= 2 members; labels (doc_id, component) of
-    the round before, if any: then only buckets with several components count and all their pairs across are made.
-    """
-    rows = buckets
-    facts = reps.select("doc_id", "sig")
-    if labels is not None:
-        facts = facts.join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-        rows = rows.join(facts.select("doc_id", "label"), "doc_id")
-        several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        several = shared.stored(several, "several")
-        rows = rows.join(several, "bucket", "left_semi")
-    else:
-        facts = facts.withColumn("label", F.col("doc_id"))
-    rows = rows.select("bucket", "n", "doc_id")
+    none = np.zeros(0, np.int64)
+    a, b, e = (np.concatenate(f) if f else none for f in (found_a, found_b, found_e))
+    order = np.argsort(-e, kind="stable")
+    return a[order], b[order]
+
+
+def in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, doc_id, n: the group's size) → block, doc_id, group, side: each pair of a group in one block."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(parts, F.lit(1))).cast("int")
-    rows = rows.withColumns({"parts": parts, "mine": mine})
-    blocks = rows.select("bucket", "doc_id", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    rows = rows.withColumns({"parts": parts, "mine": F.pmod(F.xxhash64("doc_id", F.lit(5)), parts).cast("int")})
+    rows = rows.select(group, "doc_id", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     side = F.when(F.col("mine") == F.col("other"), F.lit(2)).when(F.col("mine") < F.col("other"), F.lit(0)).otherwise(F.lit(1))
-    blocks = blocks.select("bucket", F.xxhash64("bucket", lo, hi).alias("block"), "doc_id", side.alias("side"))
-    forest = labels is None
+    return rows.select(F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "doc_id", group, side.alias("side"))
+
+
+def _cuts(t: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    block = t["block"].to_numpy()
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+    return ((i, j) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if j - i > 1)
+
+
+def _links(ids: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    x, y = (np.array([ids[p[k]] for p in pairs], np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def candidates(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """buckets (bucket, doc_id, n) of n >= 2 members → distinct pairs (a, b): a spanning forest of each block."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(t: pa.RecordBatch) -> pa.RecordBatch:
-            block = t["block"].to_numpy()
-            ids, bucket, side, label = (t[c].to_numpy() for c in ("doc_id", "bucket", "side", "label"))
-            sig = _matrix(t["sig"])
-            out_a, out_b = [], []
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if j - i > 1:
-                    a, b = _pairs(ids[i:j], sig[i:j], side[i:j], label[i:j], int(bucket[i]), forest)
-                    out_a.append(a)
-                    out_b.append(b)
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        return map(work, shared.grouped(batches, "block"))
-
-    joined = blocks.join(facts, "doc_id").repartition(F.col("block")).sortWithinPartitions("block")
-    return joined.select("block", "bucket", "doc_id", "side", "label", "sig").mapInArrow(each, "a long, b long").distinct()
+        for t in shared.grouped(batches, "block"):
+            ids, bucket, side, sig = t["doc_id"].to_numpy(), t["bucket"].to_numpy(), t["side"].to_numpy(), _matrix(t["sig"])
+            out = []
+            for i, j in _cuts(t):
+                keys = band_keys(sig[i:j])
+                band = int(np.flatnonzero(keys[0].view(np.int64) == bucket[i])[0])
+                a, b = _alike(sig[i:j], side[i:j], keys, band, None)
+                out += [(i + int(a[k]), i + int(b[k])) for k in _forest(a, b, j - i)]
+            yield _links(ids, out)
+
+    rows = in_blocks(buckets, "bucket").join(reps.select("doc_id", "sig"), "doc_id")
+    rows = rows.repartition(F.col("block")).sortWithinPartitions("block").select("block", "bucket", "doc_id", "side", "sig")
+    return rows.mapInArrow(each, "a long, b long").distinct()
+
+
+def closed(members: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """members (cluster, doc_id, n, label) of clusters with several labels → verified links (a, b) between labels."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in shared.grouped(batches, "block"):
+            ids, side, label, sig, s = t["doc_id"].to_numpy(), t["side"].to_numpy(), t["label"].to_numpy(), _matrix(t["sig"]), t["s"]
+            out = []
+            for i, j in _cuts(t):
+                _, tree = np.unique(label[i:j], return_inverse=True)
+                up = list(range(int(tree.max()) + 1))
+                texts = [np.frombuffer(s[k].as_py(), np.uint64) for k in range(i, j)]
+
+                def top(x: int, up: list[int] = up) -> int:
+                    while up[x] != x:
+                        up[x] = up[up[x]]
+                        x = up[x]
+                    return x
+
+                for a, b in zip(*(v.tolist() for v in _alike(sig[i:j], side[i:j], None, 0, tree)), strict=True):
+                    x, y = top(int(tree[a])), top(int(tree[b]))
+                    if x != y and probability_jaccard(texts[a], texts[b]) >= threshold:
+                        up[max(x, y)] = min(x, y)
+                        out.append((i + a, i + b))
+            yield _links(ids, out)
+
+    rows = in_blocks(members, "cluster").join(members.select("doc_id", "label"), "doc_id").join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
+    rows = rows.repartition(F.col("block")).sortWithinPartitions("block").select("block", "doc_id", "side", "label", "sig", "s")
+    return rows.mapInArrow(each, "a long, b long")
+
+
+BITMAP_BITS = 26
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """2**BITMAP_BITS bits (8 MB at any size): those of the ids' hashes are set."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
+    rows = ids.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = np.zeros((1 << BITMAP_BITS) // 8 + 4096, np.uint8)
+    for r in rows.collect():  # at most 2**26 / 2**15 + 1 rows of 4 KB
+        # Bucket k holds numbers 32768 (k - 1) + 1 to 32768 k; a number of 0 is in bucket 0's place.
+        at = int(r.k) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
 
 
 def shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, s): the sorted shingles of the documents among ids."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(bitmap(ids))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
+    place = F.bitmap_bucket_number(spot) * (1 << 15) + F.bitmap_bit_position(spot)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
+            at = batch["place"].to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for i, j, data, offsets in runs(batch["text"]):
                 h, _, first = words(data, offsets)
                 s, at = shingles(h, first)
@@ -269,13 +308,12 @@ def shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 value = [s[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(value, pa.binary())], ["doc_id", "s"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(each, "doc_id long, s binary").dropDuplicates(["doc_id"])
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", place.alias("place"), "text")
+    return known.mapInArrow(each, "doc_id long, s binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) those whose exact J is at least threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shared.stored(shingled(docs, ids), "shingles")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) those whose exact J is at least threshold; sets (doc_id, s) has the shingles of both."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,12 +335,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     buckets = banded(reps)
     sized = shared.stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     buckets = shared.stored(buckets.join(sized, "bucket"), "buckets")
-    pairs = shared.stored(candidates(buckets, reps, None), "pairs")
-    links = shared.stored(verified(pairs, docs, threshold), "verified")
-    label = components(links).select(F.col("id").alias("doc_id"), "component")
-    rest = candidates(buckets, reps, label).join(pairs, ["a", "b"], "left_anti")
-    rest = shared.stored(rest, "pairs")
-    more = shared.stored(verified(rest, docs, threshold), "verified")
+    pairs = shared.stored(candidates(buckets, reps), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = shared.stored(shingled(docs, shared.stored(ids, "pair-ids")), "shingles")
+    links = shared.stored(verified(pairs, sets, threshold), "verified")
+    label = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+    cluster = components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+    both = shared.stored(cluster.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "clusters")
+    open_ones = both.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("cluster", "n")
+    open_members = shared.stored(both.join(shared.stored(open_ones, "open"), "cluster"), "open-members")
+    more = shared.stored(closed(open_members, reps, sets, threshold), "verified")
     label = components(links.unionByName(more)).select(F.col("id").alias("head"), "component")
     return members.join(label, "head", "left").select("doc_id", F.coalesce("component", "head").alias("class_id"))
 
