@@ -177,12 +177,14 @@ def apply(docs: DataFrame, p: Plan, seed: int = 42) -> DataFrame:
     mix_copies: struct(pass, shard, slot) for each time the mix takes the row; slot orders a shard. Documents meet
     only the plan's small tables; they are not shuffled when those are broadcast.
     """
-    keyed = _keyed(docs, seed).join(shared.small(p.sources.select("mix_key", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "cut")), "mix_key", "left")
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_") and c != "mix_size"])
+    facts = p.sources.select("mix_key", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), F.col("cut").alias("mix_cut"))
+    keyed = _keyed(docs, seed).join(shared.small(facts), "mix_key", "left")
     keyed = keyed.join(shared.small(p.blocks, 200_000), ["mix_key", "mix_block"], "left")
-    times = F.col("whole") + F.when(F.col("mix_at") <= F.col("cut"), 1).otherwise(0)
+    times = F.col("mix_whole") + F.when(F.col("mix_at") <= F.col("mix_cut"), 1).otherwise(0)
     taken = F.filter(F.coalesce("mix_shards", F.array().cast("array<struct<pass:int,shard:int>>")), lambda x: x["pass"] < times)
     copies = F.transform(taken, lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed + 2), "doc_id", x["pass"]).alias("slot")))
-    return keyed.withColumn("mix_copies", copies).drop("mix_key", "mix_at", "mix_block", "mix_shards", "whole", "cut")
+    return keyed.withColumn("mix_copies", copies).drop("mix_key", "mix_at", "mix_block", "mix_shards", "mix_whole", "mix_cut")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
