@@ -11,25 +11,33 @@ from codeweave.llm.shared import stored
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) → (id, component): each id that is in a link, with the smallest id it reaches.
 
-    Every round takes the smallest label over an id's links, then follows labels once (pointer jumping),
-    so chains shorten geometrically and stars end after one round. Each round is written to the shared folder.
+    Every round points each id at its smallest neighbour, then at that one's, and contracts the links by these pointers:
+    links between ids that meet vanish, so what is left shrinks geometrically, and the pointers of all rounds, followed
+    from the last back to the first, name the components. Each round is written to the shared folder.
     Rows with a null end and links from an id to itself are ignored. No links: no rows.
     """
-    a, b = F.col("a"), F.col("b")
-    one = links.select("a", "b").where(a.isNotNull() & b.isNotNull() & (a != b))
-    both = stored(one.unionByName(one.select(b.alias("a"), a.alias("b"))).distinct(), "links")
-    label = stored(both.groupBy(a.alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    edges = stored(_apart(links.select("a", "b")), "links")
+    rounds: list[DataFrame] = []
     while True:
-        heard = both.join(label, both.b == label.id).select(both.a.alias("id"), "component")
-        best = stored(heard.unionByName(label.select("id", "component")).groupBy("id").agg(F.min("component").alias("component")), "labels")
-        x, y = best.alias("x"), best.alias("y")
-        jumped = x.join(y, F.col("x.component") == F.col("y.id"), "left").select(
-            F.col("x.id").alias("id"),
-            F.least("x.component", "y.component").alias("component"),
-        )
-        new = stored(jumped, "labels")
-        o, n = label.alias("o"), new.alias("n")
-        moved = o.join(n, F.col("o.id") == F.col("n.id")).where(F.col("o.component") != F.col("n.component"))
-        if not moved.limit(1).count():
-            return new
-        label = new
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up"))
+        near = stored(near, "near")
+        x, y = near.alias("x"), near.alias("y")
+        far = stored(x.join(y, F.col("x.up") == F.col("y.id")).select(F.col("x.id").alias("id"), F.col("y.up").alias("up")), "far")
+        rounds.append(far)
+        one = edges.join(far.select(F.col("id").alias("a"), F.col("up").alias("ua")), "a").select("ua", "b")
+        two = one.join(far.select(F.col("id").alias("b"), F.col("up").alias("ub")), "b").select(F.col("ua").alias("a"), F.col("ub").alias("b"))
+        edges = stored(_apart(two), "links")
+        if not edges.limit(1).count():
+            break
+    out = rounds[-1].select("id", F.col("up").alias("component"))
+    for far in reversed(rounds[:-1]):
+        known = out.select(F.col("id").alias("up"), "component")
+        out = far.join(known, "up", "left").select("id", F.coalesce("component", "up").alias("component"))
+    return stored(out, "components")
+
+
+def _apart(edges: DataFrame) -> DataFrame:
+    """Distinct links with the smaller end first."""
+    a, b = F.col("a"), F.col("b")
+    return edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()

@@ -47,6 +47,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def put_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Arrays as one file of the shared folder: workers load() it once each, where a broadcast would be copied to every node's disk."""
+    import io
+
+    from pyarrow import fs
+
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    system, at = fs.FileSystem.from_uri(path)
+    system.create_dir(at.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(at) as f:
+        f.write(data.getbuffer())
+
+
+def get_arrays(path: str) -> dict[str, np.ndarray]:
+    import io
+
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(at) as f:
+        data = np.load(io.BytesIO(f.read()))
+    return {k: data[k] for k in data.files}
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most `limit` rows, else df as it is (a shuffle join then)."""
     return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
