@@ -38,8 +38,8 @@ BLOCK = 1024
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 MAGIC = b"S8BFILE1"
-#: Pieces a worker remembers, in each of two tables.
-PIECES = 400_000
+#: What a worker remembers: texts between spaces, and the finer pieces of others.
+PIECES, FINE_PIECES = 250_000, 900_000
 #: Ids that are packed at a time, which keeps the arrays in cache.
 PACK_IDS = 128 * BLOCK
 
@@ -126,7 +126,12 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def _unpack(words: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
-    """Blocks side by side: a word of each, then the next of each."""
+    """Without escapes every word has a selector; with them blocks are read side by side, a word of each at a time."""
+    sel = (words >> np.uint64(60)).astype(np.int64)
+    if not (sel == ESCAPE).any():
+        count = np.array([*COUNTS, 0, 0])[sel]
+        _spread(words, np.arange(len(words)), np.cumsum(count) - count, sel, out)
+        return
     at, stop = offsets[:-1].copy(), offsets[1:]
     to = np.arange(len(at)) * BLOCK
     live = np.arange(len(at))
@@ -138,15 +143,19 @@ def _unpack(words: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
         at[live] += np.where(sel == ESCAPE, 2, 1)
         live = live[at[live] < stop[live]]
     if found:
-        at, to, sel = (np.concatenate(x) for x in zip(*found, strict=True))
-        for s in np.unique(sel):
-            a, t = at[sel == s], to[sel == s]
-            if s == ESCAPE:
-                out[t] = words[a + 1]
-                continue
-            w = 60 // COUNTS[s]
-            for k in range(COUNTS[s]):
-                out[t + k] = (words[a] >> np.uint64(k * w)) & np.uint64((1 << w) - 1)
+        _spread(words, *(np.concatenate(x) for x in zip(*found, strict=True)), out)
+
+
+def _spread(words: np.ndarray, at: np.ndarray, to: np.ndarray, sel: np.ndarray, out: np.ndarray) -> None:
+    for s in np.unique(sel):
+        of = np.flatnonzero(sel == s)
+        a, t = at[of], to[of]
+        if s == ESCAPE:
+            out[t] = words[a + 1]
+            continue
+        w, word = 60 // COUNTS[s], words[a]
+        for k in range(COUNTS[s]):
+            out[t + k] = (word >> np.uint64(k * w)) & np.uint64((1 << w) - 1)
 
 
 def file_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -206,7 +215,7 @@ class Encoder:
         known = self.known
         missing = [x for p in pieces for x in p if x not in known]
         fresh = self._fresh(list(dict.fromkeys(missing))) if missing else {}
-        if len(known) < PIECES:
+        if len(known) < FINE_PIECES:
             known.update(fresh)
             fresh = {}
         if not fresh:
@@ -221,19 +230,14 @@ class Encoder:
         cut = [t.split(" ") if p else [t] for t, p in zip(texts, plain, strict=True)]
         heads = self._pieces([PIECE.findall(c[0]) for c in cut])
         found = [list(map(get, c[1:])) for c in cut]
-        count, gaps = 0, []
-        missing: dict[str, bytes] = {}
-        for c, f in zip(cut, found, strict=True):
-            count += len(f)
-            if None in f:
-                at = [i for i, x in enumerate(f) if x is None]
-                gaps.append((c, f, at))
-                missing.update((c[i + 1], b"") for i in at)
+        count = sum(map(len, found))
+        gaps = [(c, f) for c, f in zip(cut, found, strict=True) if None in f]
+        missing = {w for c, f in gaps for w, x in zip(c[1:], f, strict=True) if x is None}
         if missing:
+            missing = list(missing)
             missing = dict(zip(missing, self._pieces([PIECE.findall(" " + x) for x in missing]), strict=True))
-            for c, f, at in gaps:
-                for i in at:
-                    f[i] = missing[c[i + 1]]
+            for c, f in gaps:
+                f[:] = [missing[w] if x is None else x for w, x in zip(c[1:], f, strict=True)]
             if len(self.spaced) < PIECES:
                 self.spaced.update(missing)
             elif len(missing) > 0.3 * count:
