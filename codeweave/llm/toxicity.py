@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeweave.llm import shared
-from codeweave.llm.textcols import BYTE, LOWER, M1, SPACE, mix, runs
+from codeweave.llm.textcols import BYTE, LOWER, M1, mix, runs
 
 BITS = 20
 SAMPLE = 12_000
@@ -89,16 +89,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Rows:
-    """Sparse binary rows: feature numbers sorted by row."""
+    """Sparse binary rows: feature numbers sorted by row, both in 32 bits."""
 
     def __init__(self, row: np.ndarray, number: np.ndarray, n: int):
         self.row, self.number, self.n = row, number, n
 
     def take(self, chosen: np.ndarray) -> Rows:
-        to = np.full(self.n, -1)
-        to[chosen] = np.arange(len(chosen))
-        keep = to[self.row] >= 0
-        return Rows(to[self.row[keep]], self.number[keep], len(chosen))
+        to = np.full(self.n, -1, np.int32)
+        to[chosen] = np.arange(len(chosen), dtype=np.int32)
+        row = to[self.row]
+        keep = row >= 0
+        return Rows(row[keep], self.number[keep], len(chosen))
+
+    def common(self, least: int) -> Rows:
+        """Without features of fewer rows: those can't reach MIN_Z."""
+        keep = (np.bincount(self.number, minlength=1 << BITS) >= least)[self.number]
+        return Rows(self.row[keep], self.number[keep], self.n)
 
 
 def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray, steps: int = 80, ridge: float = 0.2) -> Linear:
@@ -110,15 +116,16 @@ def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray, steps: int = 80, ridge:
         return Linear(none, np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))) if n else -30.0)
     size = 1 << BITS
     all_df = np.bincount(rows.number, minlength=size)
-    pos_df = np.bincount(rows.number, weights=y[rows.row], minlength=size)
+    pos_df = np.bincount(rows.number[(y == 1)[rows.row]], minlength=size)
     expected = all_df * (pos / n)
     z = np.abs(pos_df - expected) / np.sqrt(expected * (1 - pos / n) * (1 - np.minimum(all_df / n, 1)) + 1)
     kept = np.flatnonzero(z >= MIN_Z)
     kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[:KEEP]])
-    to = np.full(size, -1)
+    to = np.full(size, -1, np.int16)
     to[kept] = np.arange(len(kept))
     at = to[rows.number]
     r, c = rows.row[at >= 0], at[at >= 0]
+    del at
     k = len(kept)
     w = np.zeros(k + earlier.shape[1] + 1)
     w[-1] = np.log(rate / (1 - rate))
@@ -189,10 +196,12 @@ def train_table(docs: DataFrame, labels: DataFrame, categories: list[str], sampl
     if not got.num_rows:
         return train(Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), 0), np.zeros((0, len(categories))), np.zeros(0))
     lists = got["f"].chunk(0) if got["f"].num_chunks else got["f"].combine_chunks()
-    row = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()))
+    row = np.repeat(np.arange(got.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     labels = np.stack([got[c].to_numpy() for c in categories], axis=1)
     folds = got["h"].to_numpy() % FOLDS
-    return train(Rows(row, lists.flatten().to_numpy().astype(np.int64), got.num_rows), labels, folds)
+    rows = Rows(row, lists.flatten().to_numpy(), got.num_rows).common(5)
+    del got, lists, row
+    return train(rows, labels, folds)
 
 
 def score(docs: DataFrame, chain: list[Linear], categories: list[str]) -> DataFrame:
