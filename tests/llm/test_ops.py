@@ -264,6 +264,58 @@ def test_lines(spark):
     assert lines.dropped(d.limit(0)).count() == 0
 
 
+def near_lines():
+    """Lines of 1 to 130 words, each with copies: a word added, a word or a tenth of the words or 3 % of the characters changed."""
+    r, out = random.Random(21), []
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    for n in (1, 2, 3, 6, 10, 20, 23, 24, 25, 40, 48, 80, 96, 130):
+        for _ in range(12):
+            w = [r.choice(vocabulary) for _ in range(n)]
+            out += [w, [*w, r.choice(vocabulary)]]
+            for many in (1, max(1, n // 10)):
+                near = list(w)
+                for i in r.sample(range(n), many):
+                    near[i] = r.choice(vocabulary)
+                out.append(near)
+            c = list(" ".join(w))
+            for i in r.sample(range(len(c)), max(1, len(c) * 3 // 100)):
+                c[i] = r.choice("abcdefghij")
+            out.append("".join(c).split())
+    return sorted({" ".join(x) for x in out})
+
+
+def test_lines_recall(spark):
+    texts = near_lines()
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    a, b = d.toDF("a", "fa"), d.toDF("b", "fb")
+    similar = a.join(b, F.col("a") < F.col("b")).where("levenshtein(fa, fb, int(floor(greatest(length(fa), length(fb)) * 0.2 + 1e-9))) >= 0")
+    pairs = [(r.a, r.b) for r in similar.select("a", "b").collect()]
+    met = {}
+    for r in lines.buckets(d).join(d.select("doc_id", F.xxhash64(lines.words(F.col("text"))).alias("h1")), "h1").collect():
+        met.setdefault(r.doc_id, set()).add(r.bucket)
+    found = [bool(met[x] & met[y]) for x, y in pairs]
+    by = {}
+    for (x, y), f in zip(pairs, found, strict=True):
+        by.setdefault(min(9, len(texts[x].split()) // 12), []).append(f)
+    assert len(pairs) > 700
+    assert sum(found) >= 0.95 * len(found)
+    assert all(sum(v) >= 0.9 * len(v) for v in by.values())
+    # Groups by all pairs: lines dropped against those that a full comparison drops.
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in pairs:
+        p, q = top(x), top(y)
+        up[max(p, q)] = min(p, q)
+    want = {x for x in range(len(texts)) if top(x) != x}
+    got = {r.doc_id for r in lines.dropped(d).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
 # --- op8
 
 
