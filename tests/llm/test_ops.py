@@ -316,6 +316,13 @@ def test_lines_recall(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("n", [24, 48, 96])
+def test_lines_a_word_longer(spark, n):
+    rows = [(2 * k + j, prose(n, 700 + k) + " appended" * j) for k in range(40) for j in (0, 1)]
+    got = {r.doc_id for r in lines.dropped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {2 * k + 1 for k in range(40)} and len(got) >= 39
+
+
 # --- op8
 
 
