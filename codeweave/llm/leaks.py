@@ -8,6 +8,8 @@ items of that length within RADIUS: fingerprints are cut into four blocks of 16
 3 bits of some block, and an index per block holds every item under all keys within 3 bits. Candidates are verified:
 the weighted Jaccard similarity (sum of smaller over sum of larger counts) of the two's 5-word shingles.
 
+A document that is shorter than an item but has 0.8 of its shingles' number at least is one window, the whole document.
+
 Items are collected in slices of SLICE, each a pass over the documents, so what goes to the executors is bounded.
 Documents aren't shuffled.
 
@@ -123,12 +125,24 @@ class Index:
         sums = np.zeros(len(h), np.int32)
         sums[at + 1] = 1
         sums = np.cumsum(sums, dtype=np.int32)  # sums[i]: known pairs that end at word i or before
-        row_end = first[row + 1]
+        row_end, row_last = first[row + 1], first[1:] - 1
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for items in self.lengths:
             n = items.size
+            # Shorter documents with enough shingles stand as one window each, if enough of their pairs are known.
+            lengths, m = np.diff(first), n - SIZE + 1
+            short = np.flatnonzero((lengths < n) & (lengths >= SIZE) & (lengths - SIZE + 1 >= THRESHOLD * m - 1e-9))
+            short = short[sums[row_last[short]] - sums[first[short]] >= items.need]
+            for r in short.tolist():
+                own = h[first[r] : first[r + 1]]
+                _, item = items.within(fingerprints(votes(own), np.zeros(1, np.int64), len(own)))
+                own = shingles(own, np.array([0, len(own)]), SIZE)[0]
+                for k in np.unique(item).tolist():
+                    like = similarity(own, items.shingles[k])
+                    if like >= THRESHOLD:
+                        best[r, int(items.ids[k])] = (like, 0, len(own) + SIZE - 1)
             if n > len(h):
-                break
+                continue
             start = np.flatnonzero(sums[n - 1 :] - sums[: len(h) - n + 1] >= items.need)
             start = start[start + n <= row_end[start]]
             gaps = np.flatnonzero(np.diff(start) > 512) + 1

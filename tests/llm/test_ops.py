@@ -192,6 +192,15 @@ def test_leaks(spark):
     assert leaks.matches(d, b.limit(0)).count() == 0 and leaks.matches(d.limit(0), b).count() == 0
 
 
+def test_leaks_in_shorter_documents(spark):
+    item = prose(50, 910).split()
+    docs = [(1, " ".join(item[:46])), (2, " ".join(item[4:])), (3, " ".join(item[:41])), (4, " ".join(item[:40])), (5, " ".join(item)), (6, prose(46, 911)), (7, prose(3, 912))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = leaks.matches(d, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    got = {r.doc_id: (r.start_word, r.n_words, round(r.similarity, 9)) for r in found}
+    assert got == {1: (0, 46, round(42 / 46, 9)), 2: (0, 46, round(42 / 46, 9)), 3: (0, 41, round(37 / 46, 9)), 5: (0, 50, 1.0)}
+
+
 def test_leaks_index_finds_all_within_radius():
     r = np.random.default_rng(1)
     texts = [r.integers(0, 1 << 63, 20).astype(np.uint64) for _ in range(30)]
