@@ -43,10 +43,10 @@ _ODD = int(seeded(1, 2)[0]) | 1
 _POW: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd constant and of its inverse modulo 2**64."""
     if not _POW or len(_POW[0]) < n:
-        m = 1 << max(21, (n - 1).bit_length())
+        m = 1 << max(20, (n - 1).bit_length())
         _POW[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, b % (1 << 64), np.uint64)])) for b in (_ODD, pow(_ODD, -1, 1 << 64))]
     return _POW[0], _POW[1]
 
@@ -79,7 +79,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = offsets[1:][offsets[1:] > 0] - 1
     ends[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    power, inverse = _powers(n + 1)
+    power, inverse = powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(BYTE[LOWER[data]] * power[:n], out=total[1:])

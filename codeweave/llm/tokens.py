@@ -7,19 +7,19 @@ block starts a new word, so blocks are coded and decoded side by side, a word of
 
 Files are written under their final name by a rename, so a repeated task replaces its own files with equal ones.
 
-Encoding uses the tokenizer library on pieces: white space with the letters and digits or, where there are none, with
-all other characters after it. Byte-level BPE pre-tokenisation always cuts at the ends of such pieces, so the ids of
-a text are those of its pieces in a row. Each worker keeps the ids of the first pieces it sees in a bounded table
-(begun anew if it serves badly) and has the library encode the others.
-
-Defined results: a null text is an empty one (its ids are just the end id); documents are ordered by id (null first),
-then text, so ties are written side by side; empty tables give no files; other columns are ignored.
+Encoding uses the tokenizer library on pieces. A text is cut where ASCII white space follows anything else, and where
+other ASCII characters follow ASCII letters or digits. Byte-level BPE pre-tokenisation always cuts there, so the ids of
+a text are those of its pieces in a row. Each worker keeps the ids of the first pieces it sees in a bounded table, by two
+64-bit hashes (begun anew if it serves badly), and has the library encode the others; whole runs of texts are cut,
+looked up and put together at once. Texts that hold an added token's string are encoded by the library as a whole.
+
+Defined results: a null text is an empty one (its ids are just the end id); documents are ordered by id (null first,
+marked as such in the file), those of one id by their text's hash; empty tables give no files; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,26 +27,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweave.llm import shared
+from codeweave.llm.textcols import BYTE, mix, powers, runs, seeded
 
 END_ID = 2
 FILE_IDS = 2_000_000
 BLOCK = 1024
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
-MAGIC = b"S8BFILE1"
-#: What a worker remembers: texts between spaces, and the finer pieces of others.
-PIECES, FINE_PIECES = 250_000, 900_000
+MAGIC = b"S8BFILE2"
+#: Pieces that a worker remembers (a power of two); its tables take some 50 MB.
+PIECES = 1 << 20
 #: Ids that are packed at a time, which keeps the arrays in cache.
 PACK_IDS = 128 * BLOCK
 
 # The characters with Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-DOUBLE = [x + " " for x in WHITE]
-PIECE = re.compile(f"[{WHITE}]*[^\\W_]+|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 def _ahead(x: np.ndarray, by: int) -> np.ndarray:
@@ -158,14 +157,16 @@ def _spread(words: np.ndarray, at: np.ndarray, to: np.ndarray, sel: np.ndarray,
             out[t + k] = (word >> np.uint64(k * w)) & np.uint64((1 << w) - 1)
 
 
-def file_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def file_bytes(doc_ids: np.ndarray, null: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """null: which documents have no id."""
     words, offsets = pack(ids)
     head = np.array([len(doc_ids), len(ids), len(offsets), len(words)], "<u8")
-    return b"".join([MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
+    parts = [doc_ids.astype("<i8"), lengths.astype("<u8"), offsets.astype("<u4"), words.astype("<u8"), np.packbits(null)]
+    return b"".join([MAGIC, head.tobytes(), *(x.tobytes() for x in parts)])
 
 
-def file_content(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, lengths, token ids) of a file's bytes."""
+def file_content(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document ids, which have none, lengths, token ids) of a file's bytes."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
     docs, n, n_offsets, n_words = (int(x) for x in np.frombuffer(data, "<u8", 4, 8))
@@ -174,75 +175,178 @@ def file_content(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.frombuffer(data, "<u8", docs, at + 8 * docs).astype(np.int64)
     offsets = np.frombuffer(data, "<u4", n_offsets, at + 16 * docs).astype(np.int64)
     words = np.frombuffer(data, "<u8", n_words, at + 16 * docs + 4 * n_offsets)
-    return doc_ids, lengths, unpack(words, offsets, n)
+    null = np.unpackbits(np.frombuffer(data, np.uint8, -1, at + 16 * docs + 4 * n_offsets + 8 * n_words))[:docs].astype(bool)
+    return doc_ids, null, lengths, unpack(words, offsets, n)
+
+
+def _white_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the characters (of bytes >= 0x80) that end before places `at` are white space."""
+    one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    general = (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+    others = ((three == 0xE1) & (two == 0x9A) & (one == 0x80)) | ((three == 0xE2) & (two == 0x81) & (one == 0x9F)) | ((three == 0xE3) & (two == 0x80) & (one == 0x80))
+    return general | others | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+
+
+#: Kinds of bytes: others, ASCII letters and digits, ASCII white space, parts of longer characters.
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+KIND[[0x20, *range(0x09, 0x0E)]] = 2
+KIND[0x80:] = 3
+SECOND = seeded(256, 6)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the pieces of a run of texts, and the end of all; no piece is empty or in two texts."""
+    n = len(data)
+    kind = KIND[data]
+    before, here = kind[:-1], kind[1:]
+    begins = np.zeros(n + 1, bool)
+    begins[1:n] = (here == 2) & (before != 2) | (here == 0) & (before == 1)
+    doubtful = np.flatnonzero((here == 2) & (before == 3)) + 1
+    begins[doubtful[_white_ends(data, doubtful)]] = False
+    begins[offsets] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
-    """Texts → ids as little-endian uint32 bytes, through a bounded table of pieces."""
+    """Texts → ids, through a bounded table of pieces that has their ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
         # What each id stands for in bytes: every character of a byte-level token is a byte.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        #: Strings that the library takes out of a text before it cuts: texts that hold one are left to it as a whole.
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot = np.full(2 * PIECES, -1, np.int32)
+        self.hash, self.check = np.zeros(PIECES, np.uint64), np.zeros(PIECES, np.uint64)
+        self.start, self.count = np.zeros(PIECES, np.int32), np.zeros(PIECES, np.int32)
+        self.pool = np.zeros(4 * PIECES, np.uint32)
+        self.used, self.filled = 0, 0
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The pieces' places in the table, -1 for others."""
+        mask = len(self.slot) - 1
+        slot = (h >> np.uint64(65 - len(self.slot).bit_length())).astype(np.int64)
+        out = self.slot[slot]
+        todo = np.flatnonzero((out >= 0) & ((self.hash[out] != h) | (self.check[out] != check)))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & mask
+            at = self.slot[slot]
+            out[todo] = at
+            more = (at >= 0) & ((self.hash[at] != h[todo]) | (self.check[at] != check[todo]))
+            todo, slot = todo[more], slot[more]
+        return out
 
-    def _fresh(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of pieces. Those that begin with white space and end without are encoded as one text, which has a cut at each."""
-        joined = [x for x in new if x[0] in WHITE and x[-1] not in WHITE]
-        alone = [x for x in new if not (x[0] in WHITE and x[-1] not in WHITE)]
-        out = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+    def _add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Different pieces that the table doesn't have, as many as it has room for."""
+        n = min(len(h), PIECES - self.used)
+        n = min(n, int(np.searchsorted(np.cumsum(count), len(self.pool) - self.filled, "right")))
+        if n <= 0:
+            return
+        new = np.arange(self.used, self.used + n)
+        total = int(count[:n].sum())
+        self.pool[self.filled : self.filled + total] = ids[:total]
+        self.hash[new], self.check[new], self.count[new] = h[:n], check[:n], count[:n]
+        self.start[new] = self.filled + np.cumsum(count[:n]) - count[:n]
+        mask = len(self.slot) - 1
+        slot = (h[:n] >> np.uint64(65 - len(self.slot).bit_length())).astype(np.int64)
+        while len(new):
+            free = self.slot[slot] < 0
+            self.slot[slot[free]] = new[free]
+            left = self.slot[slot] != new
+            new, slot = new[left], (slot[left] + 1) & mask
+        self.used, self.filled = self.used + n, self.filled + total
+
+    def _fresh(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count for each) of pieces. Those that begin with white space and end without are encoded as one text, which has a cut at each."""
+        joins = [x[0] in WHITE and x[-1] not in WHITE for x in new]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(new)
+        alone = [k for k, x in enumerate(joins) if not x]
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([new[k] for k in alone], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, np.uint32)
+        joined = [k for k, x in enumerate(joins) if x]
         for i in range(0, len(joined), 500):
-            some = joined[i : i + 500]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+            some = [new[k] for k in joined[i : i + 500]]
+            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, np.uint32)
             ends = np.cumsum([len(x.encode()) for x in some])
             reach = np.cumsum(self.bytes[ids])
             at = np.searchsorted(reach, ends) + 1
             if reach[-1] != ends[-1] or (reach[at - 1] != ends).any():
                 raise ValueError("the tokenizer doesn't keep bytes")
-            data, start = ids.tobytes(), 0
-            for x, stop in zip(some, (4 * at).tolist(), strict=True):
-                out[x] = data[start:stop]
-                start = stop
-        return out
-
-    def _pieces(self, pieces: list[list[str]]) -> list[bytes]:
-        """The ids of texts that are cut into pieces already."""
-        known = self.known
-        missing = [x for p in pieces for x in p if x not in known]
-        fresh = self._fresh(list(dict.fromkeys(missing))) if missing else {}
-        if len(known) < FINE_PIECES:
-            known.update(fresh)
-            fresh = {}
-        if not fresh:
-            return [b"".join(map(known.__getitem__, p)) for p in pieces]
-        get = known.get
-        return [b"".join([get(x) or fresh[x] for x in p]) for p in pieces]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Where single spaces part a text, a table of what follows a space saves the finer cut."""
-        get = self.spaced.get
-        plain = [not any(x in t for x in DOUBLE) for t in texts]
-        cut = [t.split(" ") if p else [t] for t, p in zip(texts, plain, strict=True)]
-        heads = self._pieces([PIECE.findall(c[0]) for c in cut])
-        found = [list(map(get, c[1:])) for c in cut]
-        count = sum(map(len, found))
-        gaps = [(c, f) for c, f in zip(cut, found, strict=True) if None in f]
-        missing = {w for c, f in gaps for w, x in zip(c[1:], f, strict=True) if x is None}
-        if missing:
-            missing = list(missing)
-            missing = dict(zip(missing, self._pieces([PIECE.findall(" " + x) for x in missing]), strict=True))
-            for c, f in gaps:
-                f[:] = [missing[w] if x is None else x for w, x in zip(c[1:], f, strict=True)]
-            if len(self.spaced) < PIECES:
-                self.spaced.update(missing)
-            elif len(missing) > 0.3 * count:
-                self.spaced, self.known = {}, {}
-        return [h + b"".join(f) for h, f in zip(heads, found, strict=True)]
+            for k, part in zip(joined[i : i + 500], np.split(ids, at[:-1]), strict=True):
+                out[k] = part
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array([len(x) for x in out], np.int64)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first of each text and the count of all) of a run of texts."""
+        whole = self._whole(data, offsets)
+        cut = pieces(data, offsets)
+        start, end = cut[:-1], cut[1:]
+        size = end - start
+        # Both hashes are sums over a piece's bytes, weighed by powers; pieces of over 64 bytes, where such sums can be made to meet, go by their place.
+        power, inverse = powers(len(data) + 1)
+        keys = []
+        for table in (BYTE, SECOND):
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(table[data] * power[: len(data)], out=total[1:])
+            keys.append(mix((total[end] - total[start]) * inverse[start] + size.astype(np.uint64)))
+        h, check = keys
+        long = size > 64
+        place = self._find(h, check)
+        place[long] = -1
+        missing = np.flatnonzero(place < 0)
+        count, begin, pool = self.count[place].astype(np.int64), self.start[place].astype(np.int64), self.pool
+        if len(missing):
+            tag = np.stack([h[missing], check[missing]], axis=1)
+            tag[long[missing]] = np.stack([start[missing[long[missing]]], size[missing[long[missing]]]], axis=1)
+            order = np.lexsort((tag[:, 1], tag[:, 0]))
+            same = np.zeros(len(order), bool)
+            same[1:] = (tag[order[1:]] == tag[order[:-1]]).all(axis=1)
+            which = np.empty(len(order), np.int64)
+            which[order] = np.cumsum(~same) - 1
+            first = missing[order[~same]]
+            raw = data.tobytes()
+            ids, n = self._fresh([raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            # Their ids stand behind the table's for now.
+            if self.filled + len(ids) > len(pool):
+                pool = np.concatenate([pool[: self.filled], ids])
+            pool[self.filled : self.filled + len(ids)] = ids
+            count[missing], begin[missing] = n[which], (self.filled + np.cumsum(n) - n)[which]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        out = pool[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
+        at = upto[np.searchsorted(start, offsets)]
+        if len(missing):
+            if self.used == PIECES and len(missing) > 0.3 * len(place):
+                self.clear()
+            short = ~long[first]
+            self._add(h[first[short]], check[first[short]], ids[np.repeat(short, n)], n[short])
+        if len(whole):
+            rows = np.split(out, at[1:-1])
+            for r in whole:
+                text = data[offsets[r] : offsets[r + 1]].tobytes().decode()
+                rows[r] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            out, at = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        return out, at
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Rows that hold a string of self.added."""
+        raw, found = data.tobytes(), set()
+        for x in self.added:
+            at = raw.find(x)
+            while at >= 0:
+                r = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(x) <= offsets[r + 1]:
+                    found.add(r)
+                at = raw.find(x, at + 1)
+        return sorted(found)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -269,24 +373,21 @@ def _files(uri: str):
 MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """docs (doc_id long, text string) → files in `folder`, in ascending order of doc_id; returns their manifest."""
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, order: list[Column] | None = None) -> DataFrame:
+    """docs (doc_id long, text string) → files in `folder`, in ascending order of doc_id or of other columns; returns their manifest."""
     spark = docs.sparkSession
     shared.ship(spark)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from codeweave.llm.textcols import RUN_BYTES
-
         part, k = TaskContext.get().partitionId(), 0
-        coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        doc_ids: list[int] = []
-        coded: list[bytes] = []
-        held = 0
+        coder = encoder(tokenizer)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal k, held
-            lengths = np.array([len(x) // 4 for x in coded])
-            data = file_bytes(np.array(doc_ids), lengths, np.frombuffer(b"".join(coded), "<u4"))
+            nonlocal k
+            doc_ids, null, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            data = file_bytes(doc_ids, null, lengths, ids)
             name = f"{folder}/part-{part:06d}-{k:06d}.s8b"
             system, path = _files(name)
             system.create_dir(path.rpartition("/")[0], recursive=True)
@@ -294,31 +395,27 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             with system.open_output_stream(temporary) as f:
                 f.write(data)
             system.move(temporary, path)
-            row = pa.record_batch([[part], [k], [name], [len(doc_ids)], [int(lengths.sum())]], schema=MANIFEST)
-            doc_ids.clear()
-            coded.clear()
-            k, held = k + 1, 0
+            row = pa.record_batch([[part], [k], [name], [len(doc_ids)], [len(ids)]], schema=MANIFEST)
+            k += 1
             return row
 
         for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"]
-            i = 0
-            while i < len(ids):
-                run, size = [], 0
-                while i + len(run) < len(ids) and (not run or size < RUN_BYTES):
-                    run.append(texts[i + len(run)].as_py() or "")
-                    size += len(run[-1])
-                for x in coder.encode(run):
-                    coded.append(x + end)
-                    held += len(coded[-1]) // 4
-                doc_ids += [-1 if x is None else x for x in ids[i : i + len(run)]]
-                i += len(run)
-                if held >= FILE_IDS:
+            doc_ids, null = batch["doc_id"].fill_null(0).to_numpy(), batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in runs(batch["text"]):
+                ids, at = coder.encode(data, offsets)
+                ended = np.full(len(ids) + j - i, end_id, np.uint32)
+                ended[np.arange(len(ids)) + np.repeat(np.arange(j - i), np.diff(at))] = ids
+                held.append((doc_ids[i:j], null[i:j], np.diff(at) + 1, ended))
+                if sum(len(x[3]) for x in held) >= FILE_IDS:
                     yield flush()
-        if coded:
+        if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id are dealt out by their text's hash, so many of them are no task's burden.
+    by = order or [F.col("doc_id"), F.xxhash64("text")]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(f"by_{n}") for n, c in enumerate(by)])
+    names = [f"by_{n}" for n in range(len(by))]
+    ordered = keyed.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
     return shared.stored(ordered.mapInArrow(each, "part int, file int, path string, n_docs long, n_ids long"), "manifest")
 
 
@@ -335,12 +432,12 @@ def read(manifest: DataFrame) -> DataFrame:
             for part, k, name in zip(*(batch[c].to_pylist() for c in ("part", "file", "path")), strict=True):
                 system, path = _files(name)
                 with system.open_input_stream(path) as f:
-                    doc_ids, lengths, ids = file_content(f.read())
+                    doc_ids, null, lengths, ids = file_content(f.read())
                 data = memoryview(ids.astype("<u4").tobytes())
                 stop = np.cumsum(lengths)
                 crc = [zlib.crc32(data[4 * (b - n) : 4 * b]) for n, b in zip(lengths.tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (np.full(len(doc_ids), part, np.int32), np.full(len(doc_ids), k, np.int32), doc_ids, stop - lengths, lengths, np.array(crc, np.int64))],
+                    [pa.array(x) for x in (np.full(len(doc_ids), part, np.int32), np.full(len(doc_ids), k, np.int32), pa.array(doc_ids, mask=null), stop - lengths, lengths, np.array(crc, np.int64))],
                     ["part", "file", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
 
