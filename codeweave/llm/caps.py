@@ -141,7 +141,7 @@ def filtered(vectors: DataFrame) -> DataFrame:
                     )
 
     usable = vectors.where(F.col("label").isNotNull() & F.col("vector").isNotNull())
-    return usable.mapInArrow(each, "vec_id long, label long, unit binary, caps array<long>")
+    return usable.mapInArrow(shared.lean(each), "vec_id long, label long, unit binary, caps array<long>")
 
 
 RESULT = "kind int, a long, b long, n long"
@@ -218,7 +218,7 @@ def linked(heads: DataFrame, threshold: float) -> DataFrame:
             yield from work(t)
 
     joined = rows.join(heads.select("vec_id", "unit", "caps", "times"), "vec_id").repartition(F.col("block")).sortWithinPartitions("block")
-    return joined.select("block", "cap", "vec_id", "side", "times", "unit", "caps").mapInArrow(each, RESULT)
+    return joined.select("block", "cap", "vec_id", "side", "times", "unit", "caps").mapInArrow(shared.lean(each), RESULT)
 
 
 def similar(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

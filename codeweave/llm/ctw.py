@@ -117,7 +117,7 @@ def counts(training: DataFrame) -> DataFrame:
 
     # Fewer, larger tasks send fewer copies of what they all count.
     tasks = max(2 * training.sparkSession.sparkContext.defaultParallelism, training.rdd.getNumPartitions() // 4)
-    return training.select("text").coalesce(tasks).mapInArrow(each, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return training.select("text").coalesce(tasks).mapInArrow(shared.lean(each), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 class Table:
@@ -194,7 +194,7 @@ def nodes(entries: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((k[keep] >> np.uint64(56)).astype(np.int32) - 1, k[keep].view(np.int64), zeros[keep], ones[keep])], ["depth", "node", "zeros", "ones"])
 
     placed = entries.withColumn("place", F.xxhash64("depth", F.shiftrightunsigned("key", 8)))
-    return placed.repartition(F.col("place")).sortWithinPartitions("place").mapInArrow(each, "depth int, node long, zeros long, ones long")
+    return placed.repartition(F.col("place")).sortWithinPartitions("place").mapInArrow(shared.lean(each), "depth int, node long, zeros long, ones long")
 
 
 class Model:
@@ -361,7 +361,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, h long, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<struct<key:long,times:int>>"
-    made = docs.withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text").mapInArrow(each, schema)
+    made = docs.withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text").mapInArrow(shared.lean(each), schema)
     # One row a text with its facts, and one for each of its words that the table of common ones hasn't.
     facts = F.struct("n_tokens", "n_known", "base", "score", "n_bytes")
     lone = F.array(F.struct(F.xxhash64("doc_id", "h", F.lit(1)).alias("key"), F.lit(0).alias("times")))

@@ -189,7 +189,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         r, item, s, n, like = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(item), pa.array(s), pa.array(n), pa.array(like)], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
-        return docs.mapInArrow(each, SCHEMA)
+        return docs.mapInArrow(shared.lean(each), SCHEMA)
 
     return reduce(DataFrame.unionByName, [one(k) for k in range(slices)])
 

@@ -132,7 +132,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 )
 
     with np.errstate(over="ignore"):
-        return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, exact string, sig binary")
+        return docs.select("doc_id", "text").mapInArrow(shared.lean(each), "doc_id long, exact string, sig binary")
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ def banded(reps: DataFrame) -> DataFrame:
                 keys = band_keys(_matrix(batch["sig"]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch["doc_id"].to_numpy(), BANDS))], ["bucket", "doc_id"])
 
-    return reps.select("doc_id", "sig").mapInArrow(each, "bucket long, doc_id long")
+    return reps.select("doc_id", "sig").mapInArrow(shared.lean(each), "bucket long, doc_id long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
@@ -240,7 +240,7 @@ def candidates(buckets: DataFrame, reps: DataFrame) -> DataFrame:
 
     rows = in_blocks(buckets, "bucket").join(reps.select("doc_id", "sig"), "doc_id")
     rows = rows.repartition(F.col("block")).sortWithinPartitions("block").select("block", "bucket", "doc_id", "side", "sig")
-    return rows.mapInArrow(each, "a long, b long").distinct()
+    return rows.mapInArrow(shared.lean(each), "a long, b long").distinct()
 
 
 def closed(members: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -270,7 +270,7 @@ def closed(members: DataFrame, reps: DataFrame, sets: DataFrame, threshold: floa
 
     rows = in_blocks(members, "cluster").join(members.select("doc_id", "label"), "doc_id").join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
     rows = rows.repartition(F.col("block")).sortWithinPartitions("block").select("block", "doc_id", "side", "label", "sig", "s")
-    return rows.mapInArrow(each, "a long, b long")
+    return rows.mapInArrow(shared.lean(each), "a long, b long")
 
 
 BITMAP_BITS = 26
@@ -309,7 +309,7 @@ def shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(value, pa.binary())], ["doc_id", "s"])
 
     known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", place.alias("place"), "text")
-    return known.mapInArrow(each, "doc_id long, s binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.mapInArrow(shared.lean(each), "doc_id long, s binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -321,7 +321,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep, pa.bool_())), batch["b"].filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(shared.lean(each), "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
+import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -28,13 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset on a single machine (tests)."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
     if not base:
+        if not local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/codeweave-{spark.sparkContext.applicationId}"
 
 
+def local(spark: SparkSession) -> bool:
+    """Whether the executors are the driver's own threads."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
@@ -74,15 +85,14 @@ def get_arrays(path: str) -> dict[str, np.ndarray]:
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most `limit` rows, else df as it is (a shuffle join then)."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def ship(spark: SparkSession) -> None:
-    """Readies a session for Python stages: the package on the executors unless their import path has it, small batches."""
+    """Readies a session for Python stages: the package on the executors of a cluster, small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    here = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] + [os.getcwd()]
     sc = spark.sparkContext
-    if str(ROOT) in here or getattr(sc, "_codeweave_shipped", False):
+    if local(spark) and str(ROOT) in [os.path.abspath(p or ".") for p in sys.path] or getattr(sc, "_codeweave_shipped", False):
         return
     with tempfile.NamedTemporaryFile(suffix=".zip", prefix="codeweave-", delete=False) as f:
         with zipfile.ZipFile(f, "w") as z:
@@ -92,6 +102,21 @@ def ship(spark: SparkSession) -> None:
     sc._codeweave_shipped = True
 
 
+def lean(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A stage's function that gives freed memory back to the system when its task ends: workers are used again, and the next stage needs it elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Batches of rows that are sorted by an integer column → batches that hold all rows of each of their values."""
     held: list[pa.RecordBatch] = []

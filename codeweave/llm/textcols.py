@@ -46,7 +46,7 @@ _POW: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd constant and of its inverse modulo 2**64."""
     if not _POW or len(_POW[0]) < n:
-        m = 1 << max(20, (n - 1).bit_length())
+        m = 1 << max(18, (n - 1).bit_length())
         _POW[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, b % (1 << 64), np.uint64)])) for b in (_ODD, pow(_ODD, -1, 1 << 64))]
     return _POW[0], _POW[1]
 

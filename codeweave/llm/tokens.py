@@ -39,8 +39,8 @@ BLOCK = 1024
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 MAGIC = b"S8BFILE2"
-#: Pieces that a worker remembers (a power of two); its tables take some 50 MB.
-PIECES = 1 << 20
+#: Pieces that a worker remembers (a power of two); its tables take some 25 MB.
+PIECES = 1 << 19
 #: Ids that are packed at a time, which keeps the arrays in cache.
 PACK_IDS = 128 * BLOCK
 
@@ -401,7 +401,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
         for batch in batches:
             doc_ids, null = batch["doc_id"].fill_null(0).to_numpy(), batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in runs(batch["text"]):
+            for i, j, data, offsets in runs(batch["text"], 1 << 18):
                 ids, at = coder.encode(data, offsets)
                 ended = np.full(len(ids) + j - i, end_id, np.uint32)
                 ended[np.arange(len(ids)) + np.repeat(np.arange(j - i), np.diff(at))] = ids
@@ -416,7 +416,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(f"by_{n}") for n, c in enumerate(by)])
     names = [f"by_{n}" for n in range(len(by))]
     ordered = keyed.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
-    return shared.stored(ordered.mapInArrow(each, "part int, file int, path string, n_docs long, n_ids long"), "manifest")
+    return shared.stored(ordered.mapInArrow(shared.lean(each), "part int, file int, path string, n_docs long, n_ids long"), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -447,7 +447,7 @@ def read(manifest: DataFrame) -> DataFrame:
     files = manifest.select("part", "file", F.coalesce(F.sum("n_ids").over(before("part", "file")), F.lit(0)).alias("file_start"))
     starts = files.join(parts, "part").select("part", "file", (F.col("part_start") + F.col("file_start")).alias("base"))
     tasks = max(1, min(manifest.count(), 8 * spark.sparkContext.defaultParallelism))
-    rows = manifest.select("part", "file", "path").repartition(tasks).mapInArrow(each, "part int, file int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    rows = manifest.select("part", "file", "path").repartition(tasks).mapInArrow(shared.lean(each), "part int, file int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return rows.join(shared.small(starts, 100_000), ["part", "file"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -192,7 +192,7 @@ def train_table(docs: DataFrame, labels: DataFrame, categories: list[str], sampl
                 yield pa.RecordBatch.from_arrays([batch[c].slice(i, j - i) for c in ("h", *categories)] + [value], ["h", *categories, "f"])
 
     schema = "h long, " + ", ".join(f"{c} int" for c in categories) + ", f array<int>"
-    got = chosen.mapInArrow(each, schema).toArrow().sort_by("h").combine_chunks()
+    got = chosen.mapInArrow(shared.lean(each), schema).toArrow().sort_by("h").combine_chunks()
     if not got.num_rows:
         return train(Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), 0), np.zeros((0, len(categories))), np.zeros(0))
     lists = got["f"].chunk(0) if got["f"].num_chunks else got["f"].combine_chunks()
@@ -227,7 +227,7 @@ def score(docs: DataFrame, chain: list[Linear], categories: list[str]) -> DataFr
             p = np.concatenate(parts) if parts else np.zeros((0, len(names)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, k]) for k in range(len(names))]], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(each, schema)
+    return docs.mapInArrow(shared.lean(each), schema)
 
 
 CATEGORIES = ["poor", "toxic"]
