@@ -8,10 +8,12 @@ J(x, y) = sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i).
 
 1. Texts with the same words are one class; the smallest id stands for it.
 2. 25 bands of 5 registers: texts at 0.8 meet in no band once in 20000 pairs; all others are candidates.
-3. Buckets are worked on in blocks of at most BLOCK x BLOCK members, dealt over tasks by block, so a bucket of any
-   size is spread. A block looks at each pair in the first band it shares and estimates its similarity from all
-   registers; it passes on a spanning forest of its pairs from MARGIN on, the most similar first: a link for every
-   member, not for every pair.
+3. A bucket is cut by a hash of its members into parts of about BLOCK, dealt over tasks, so a bucket of any size is
+   spread. A part looks at each pair in the first band it shares and estimates its similarity from all registers; it
+   passes on a spanning forest of its pairs from MARGIN on, the most similar first: a link for every member, not for
+   every pair. Buckets of several parts whose members aren't joined by then are worked on again: first one member of
+   each joined group for all of it, then, where groups are left, all pairs of members of different groups in blocks,
+   with a link for a pair of groups at most. So a large group of near copies costs as many links as it has members.
 4. Passed pairs are verified: exact J over all shingles of both texts. Verified links make components.
 5. All passed pairs, verified or not, make clusters: every pair from MARGIN on that shares a band lies in one. Clusters
    of several components are worked on in blocks once more, now with the shingles: pairs of different components from
@@ -204,13 +206,33 @@ def _alike(sig: np.ndarray, side: np.ndarray, keys: np.ndarray | None, band: int
     return a[order], b[order]
 
 
-def in_blocks(rows: DataFrame, group: str) -> DataFrame:
-    """rows (group, doc_id, n: the group's size) → block, doc_id, group, side: each pair of a group in one block."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumns({"parts": parts, "mine": F.pmod(F.xxhash64("doc_id", F.lit(5)), parts).cast("int")})
-    rows = rows.select(group, "doc_id", "mine", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    side = F.when(F.col("mine") == F.col("other"), F.lit(2)).when(F.col("mine") < F.col("other"), F.lit(0)).otherwise(F.lit(1))
-    return rows.select(F.xxhash64(group, F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "doc_id", group, side.alias("side"))
+def within(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, doc_id, n: the group's size) → block, doc_id, group, side: every member in one part of its group."""
+    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.ceil(F.col("n") / BLOCK))
+    return rows.select(F.xxhash64(group, part).alias("block"), "doc_id", group, F.lit(2).alias("side"))
+
+
+def across(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, doc_id, label) of groups with several labels → block, doc_id, label, side: each pair of different labels in a block.
+
+    The members of a group's largest label meet only the others, so they are copied once for each BLOCK of others.
+    """
+    sizes = rows.groupBy(group, "label").agg(F.count("*").alias("m"))
+    most = sizes.groupBy(group).agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
+    most = shared.stored(most.select(group, F.col("top.label").alias("top"), F.ceil(F.col("top.m") / BLOCK).alias("pl"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).alias("pm")), "near-sizes")
+    rows = rows.join(most, group)
+    in_top = F.col("label") == F.col("top")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.when(in_top, F.col("pl")).otherwise(F.col("pm"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    block = lambda kind, i, j, side: F.struct(F.xxhash64(group, F.lit(kind), i, j).alias("block"), side.cast("int").alias("side"))
+    mine = F.col("mine")
+    side = lambda x: F.when(mine == x, 2).when(mine < x, 0).otherwise(1)
+    others = F.concat(
+        F.transform(upto("pm"), lambda x: block(0, F.least(mine, x), F.greatest(mine, x), side(x))),
+        F.transform(upto("pl"), lambda x: block(1, mine, x, F.lit(0))),
+    )
+    top = F.transform(upto("pm"), lambda x: block(1, x, mine, F.lit(1)))
+    return rows.select("doc_id", "label", F.explode(F.when(in_top, top).otherwise(others)).alias("to")).select("to.block", "doc_id", "label", "to.side")
 
 
 def _cuts(t: pa.RecordBatch) -> Iterator[tuple[int, int]]:
@@ -224,27 +246,56 @@ def _links(ids: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
-def candidates(buckets: DataFrame, reps: DataFrame) -> DataFrame:
-    """buckets (bucket, doc_id, n) of n >= 2 members → distinct pairs (a, b): a spanning forest of each block."""
+def _forests(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """rows (block, bucket or label, doc_id, side) → pairs (a, b): a spanning forest of each block, over its labels if it has some."""
+    own = "bucket" if "bucket" in rows.columns else "label"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in shared.grouped(batches, "block"):
-            ids, bucket, side, sig = t["doc_id"].to_numpy(), t["bucket"].to_numpy(), t["side"].to_numpy(), _matrix(t["sig"])
+            ids, tag, side, sig = t["doc_id"].to_numpy(), t[own].to_numpy(), t["side"].to_numpy(), _matrix(t["sig"])
             out = []
             for i, j in _cuts(t):
-                keys = band_keys(sig[i:j])
-                band = int(np.flatnonzero(keys[0].view(np.int64) == bucket[i])[0])
-                a, b = _alike(sig[i:j], side[i:j], keys, band, None)
-                out += [(i + int(a[k]), i + int(b[k])) for k in _forest(a, b, j - i)]
+                if own == "bucket":
+                    keys = band_keys(sig[i:j])
+                    band = int(np.flatnonzero(keys[0].view(np.int64) == tag[i])[0])
+                    tree = np.arange(j - i)
+                    a, b = _alike(sig[i:j], side[i:j], keys, band, None)
+                else:
+                    _, tree = np.unique(tag[i:j], return_inverse=True)
+                    a, b = _alike(sig[i:j], side[i:j], None, 0, tree)
+                out += [(i + int(a[k]), i + int(b[k])) for k in _forest(tree[a], tree[b], j - i)]
             yield _links(ids, out)
 
-    rows = in_blocks(buckets, "bucket").join(reps.select("doc_id", "sig"), "doc_id")
-    rows = rows.repartition(F.col("block")).sortWithinPartitions("block").select("block", "bucket", "doc_id", "side", "sig")
+    rows = rows.join(reps.select("doc_id", "sig"), "doc_id")
+    rows = rows.repartition(F.col("block")).sortWithinPartitions("block", "doc_id").select("block", own, "doc_id", "side", "sig")
     return rows.mapInArrow(shared.lean(each), "a long, b long").distinct()
 
 
+def candidates(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """buckets (bucket, doc_id, n) of n >= 2 members → distinct pairs (a, b) that join all members alike of a bucket."""
+    pairs = shared.stored(_forests(within(buckets, "bucket"), reps), "pairs")
+    large = shared.stored(buckets.where(F.col("n") > BLOCK).select("bucket", "doc_id"), "large")
+    if not large.limit(1).count():
+        return pairs
+
+    def open_ones(pairs: DataFrame) -> DataFrame:
+        label = components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+        rows = shared.stored(large.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "large")
+        several = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        return shared.stored(rows.join(several, "bucket", "left_semi"), "large-open")
+
+    # First a member of each label for all of it, which joins the parts of a group of near copies.
+    heads = open_ones(pairs).groupBy("bucket", "label").agg(F.min("doc_id").alias("doc_id")).select("bucket", "doc_id")
+    heads = heads.join(heads.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    pairs = shared.stored(pairs.unionByName(_forests(within(heads, "bucket"), reps)).distinct(), "pairs")
+    rest = open_ones(pairs)
+    if not rest.limit(1).count():
+        return pairs
+    return pairs.unionByName(_forests(across(rest, "bucket"), reps)).distinct()
+
+
 def closed(members: DataFrame, reps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """members (cluster, doc_id, n, label) of clusters with several labels → verified links (a, b) between labels."""
+    """members (cluster, doc_id, label) of clusters with several labels → verified links (a, b) between labels."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in shared.grouped(batches, "block"):
@@ -268,7 +319,7 @@ def closed(members: DataFrame, reps: DataFrame, sets: DataFrame, threshold: floa
                         out.append((i + a, i + b))
             yield _links(ids, out)
 
-    rows = in_blocks(members, "cluster").join(members.select("doc_id", "label"), "doc_id").join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
+    rows = across(members.select("cluster", "doc_id", "label"), "cluster").join(reps.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
     rows = rows.repartition(F.col("block")).sortWithinPartitions("block").select("block", "doc_id", "side", "label", "sig", "s")
     return rows.mapInArrow(shared.lean(each), "a long, b long")
 
@@ -342,7 +393,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     label = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
     cluster = components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
     both = shared.stored(cluster.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "clusters")
-    open_ones = both.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("cluster", "n")
+    open_ones = both.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cluster")
     open_members = shared.stored(both.join(shared.stored(open_ones, "open"), "cluster"), "open-members")
     more = shared.stored(closed(open_members, reps, sets, threshold), "verified")
     label = components(links.unionByName(more)).select(F.col("id").alias("head"), "component")

@@ -88,6 +88,28 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, made longer until no column has it (names are alike in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """(docs with a key that tells rows of different id or text apart, whether any id is null or repeated).
+
+    The key is doc_id, or a hash of id and text for rows whose id is null or occurs again.
+    """
+    again = stored(docs.groupBy("doc_id").count().where(F.col("doc_id").isNull() | (F.col("count") > 1)).select("doc_id"), "ids-again")
+    if not again.limit(1).count():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), False
+    mark = unused([*docs.columns, key], "id_again")
+    marked = docs.join(small(again.where(F.col("doc_id").isNotNull()).withColumn(mark, F.lit(True)), 100_000), "doc_id", "left")
+    odd = F.col("doc_id").isNull() | F.col(mark).isNotNull()
+    return marked.withColumn(key, F.when(odd, F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))).drop(mark), True
+
+
 def ship(spark: SparkSession) -> None:
     """Readies a session for Python stages: the package on the executors of a cluster, small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
