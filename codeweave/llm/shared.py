@@ -11,12 +11,14 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 ROOT = Path(__file__).resolve().parents[2]
 
 #: Arrow batches for Python workers: both sides of the pipe hold a few at a time.
@@ -58,18 +60,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def put_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """Arrays as one file of the shared folder: workers load() it once each, where a broadcast would be copied to every node's disk."""
+def put_arrays(path: str, arrays: dict[str, np.ndarray]) -> str:
+    """Arrays as one file of the shared folder, whose name it returns; loaded() reads it once for each worker."""
     import io
 
     from pyarrow import fs
 
     data = io.BytesIO()
     np.savez(data, **arrays)
+    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
     system, at = fs.FileSystem.from_uri(path)
     system.create_dir(at.rpartition("/")[0], recursive=True)
     with system.open_output_stream(at) as f:
         f.write(data.getbuffer())
+    return path
 
 
 def get_arrays(path: str) -> dict[str, np.ndarray]:
@@ -83,6 +87,20 @@ def get_arrays(path: str) -> dict[str, np.ndarray]:
     return {k: data[k] for k in data.files}
 
 
+_LOADED: dict[str, object] = {}
+
+
+def loaded(path: str, make: Callable[[dict[str, np.ndarray]], T]) -> T:
+    """What make() makes of a file's arrays; a worker keeps the last.
+
+    Stages must reach this function by its module: what a nested function names is copied for every task.
+    """
+    if path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path] = make(get_arrays(path))
+    return _LOADED[path]
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most `limit` rows, else df as it is (a shuffle join then)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

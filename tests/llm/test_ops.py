@@ -134,11 +134,14 @@ def kt_brute(train, tests):
     return out
 
 
-def test_ctw(spark):
-    texts = [(k, prose(12, k) + ("\nÄé!" if k % 5 == 0 else "")) for k in range(30)] + [(100, None), (101, ""), (102, "  "), (3, prose(12, 3))]
-    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    got = {r.doc_id: r for r in ctw.scores(spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("clash"))).collect()}
-    assert len(got) == 33
+@pytest.mark.parametrize("common", [1 << 20, 40])
+def test_ctw(spark, common):
+    """Against the definition; with few common codes and words most come by the join."""
+    texts = [(k, prose(12, k) + ("\nÄé!" if k % 5 == 0 else "")) for k in range(30)] + [(100, None), (101, ""), (102, "  "), (3, prose(12, 3)), (None, "no id")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    got = ctw.scores(spark.createDataFrame(texts, "doc_id long, text string").withColumns({"score": F.lit("clash"), "row": F.lit(1), "train": F.lit(0)}), common, common).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in texts)
+    got = {r.doc_id: r for r in got}
     data = [(i, (t or "").encode()) for i, t in texts]
     exact = dict(zip([i for i, _ in data], kt_brute([t for i, t in data if not held(i)], [t for _, t in data]), strict=True))
     c = Counter(w for i, t in data if not held(i) for w in [*t.lower().split(), None])
@@ -151,25 +154,36 @@ def test_ctw(spark):
         assert abs(got[i].base_score - sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) < 1e-6
 
 
+def test_ctw_without_training(spark):
+    i = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    r = ctw.scores(spark.createDataFrame([(i, "ab")], "doc_id long, text string")).first()
+    assert (r.train_tokens, r.base_score, r.n_known) == (0, 0.0, 0) and abs(r.score - 24 * math.log10(0.5)) < 1e-9
+    assert ctw.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_ctw_sums_to_one():
-    code = np.frombuffer(b"abcdefghijabcxyz" * 9, np.uint8)
-    keys, at = ctw.codes(code, np.array([0, len(code)]))
-    sums = ctw.Sums()
-    sums.add(keys)
-    k, n = sums.merge()
-    found = []
-    for depth in range(ctw.DEPTH + 1):
-        by = {}
-        for key, m in zip((k & np.uint64((1 << (8 * (depth + 1))) - 1)).tolist(), n.tolist(), strict=True):
-            for bit in range(8):
-                node = (depth + 1) << 56 | (key >> 8) << 8 | 1 << bit | (key & 255) >> (8 - bit)
-                by.setdefault(node, [0, 0])[(key >> (7 - bit)) & 1] += m
-        nodes = sorted(by)
-        found.append((np.array(nodes, np.uint64), np.array([by[x][0] for x in nodes]), np.array([by[x][1] for x in nodes])))
-    tree = ctw.Tree(**ctw.Model(found).arrays())
+    text = np.frombuffer(b"abcdefghijabcxyz" * 9, np.uint8)
+    keys, _ = ctw.codes(text, np.array([0, len(text)]))
+    k, n = np.unique(keys, return_counts=True)
+    lower = ctw.subtrees(k, n)
+    upper = ctw.top_levels(*lower[-1].above(ctw.TOP - 1))
+    levels = [(x.node, x.zero, x.stop) for x in lower + upper]
     for context in (b"cdefgh", b"zzzzzz", b"\xff" * 6):
         all_bytes = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        assert abs(np.exp2(tree.log2(all_bytes)).sum() - 1) < 1e-5
+        assert abs(np.exp2(ctw.log2_bytes(all_bytes, levels)).sum() - 1) < 1e-9
+
+
+def test_ctw_sums_merge(monkeypatch):
+    r, sums, exact = np.random.default_rng(1), ctw.Sums(), Counter()
+    for k in range(9):
+        keys, counted = r.integers(0, 500, 400).astype(np.uint64), r.random(400) < 0.5
+        sums.add(keys, None if k % 3 else counted)
+        exact.update({int(x): 0 for x in keys})
+        exact.update(int(x) for x, c in zip(keys, counted, strict=True) if k % 3 or c)
+        if k % 2:
+            sums.merge()
+    sums.merge()
+    assert dict(zip(sums.keys.tolist(), sums.counts.tolist(), strict=True)) == dict(exact)
 
 
 # --- op4
