@@ -192,7 +192,7 @@ def subtrees(code: np.ndarray, n: np.ndarray) -> list[Level]:
     one = np.concatenate([(code >> np.uint64(7 - bit)) & np.uint64(1) for bit in range(8)]).astype(bool)
     node, at = np.unique(number, return_inverse=True)
     n8 = np.tile(n, 8)
-    ones = np.bincount(at, weights=n8 * one, minlength=len(node))
+    ones = np.bincount(at, weights=n8 * one, minlength=len(node)).astype(float)
     levels = [Level(node, np.bincount(at, weights=n8, minlength=len(node)) - ones, ones, None)]
     for depth in range(DEPTH - 1, TOP - 1, -1):
         levels.append(Level(*levels[-1].above(depth)))
@@ -381,7 +381,7 @@ def scores(docs: DataFrame, common: int = COMMON, common_words: int = COMMON_WOR
                 h, row, first = words(data, offsets)
                 h, row = np.concatenate([h, np.zeros(j - i, np.uint64)]), np.concatenate([row, np.arange(j - i)])  # and the end tokens
                 value, found = by_word.find(h)
-                mine = np.bincount(row[found], weights=value[found], minlength=j - i)
+                mine = np.bincount(row[found], weights=value[found], minlength=j - i).astype(float)
                 n_known = np.bincount(row[found], minlength=j - i)
                 word = _apart(row[~found], h[~found])
                 r = np.concatenate([gram[0], word[0]])
