@@ -4,15 +4,17 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codeweave.llm import caps, chat, ctw, leaks, lines, mixing, neardup, tokens, toxicity, warc
-from codeweave.llm.textcols import shingles, words
+from codeweave.llm.textcols import runs, shingles, words
 
 R = random.Random(7)
 VOCABULARY = ["".join(R.choice("abcdefghij") for _ in range(R.randrange(2, 7))) for _ in range(400)]
@@ -277,16 +279,43 @@ def test_lines(spark):
     long = prose(80, 50)
     near = long.split()
     near[40] = "other"
-    docs = [(1, f"Head 12\n{long}\n\nonly one"), (2, f"head, 13!\n\n{long.upper()}"), (3, " ".join(near) + "\n---"), (4, None), (5, "---\n\n  "), (6, prose(40, 51)), (6, prose(40, 51)), (-1, "head")]
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("pos", F.lit("clash"))
+    docs = [(1, f"Head one 12\n{long}\n\nonly one"), (2, f"head, ONE 12!\n\n{long.upper()}"), (3, " ".join(near) + "\n---"), (4, None), (5, "---\n\n  "), (6, prose(40, 51)), (6, prose(40, 51)), (-1, "head one 12"),
+            (7, "Total: 1,234"), (8, "Total: 98"), (None, long), (9, ""), (10, prose(30000, 52)), (11, prose(30000, 52) + " end")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"pos": F.lit("clash"), "dropped": F.lit("clash")})
     got = {r.doc_id: r.dropped for r in lines.dropped(d).collect()}
-    assert got[1] == [0] and got[2] == [0, 2] and got[5] == [0]
-    assert 6 not in got and 4 not in got
-    text = {r.doc_id: r.text for r in lines.without(d, lines.dropped(d)).collect()}
-    assert text[2] == "" and text[1] == f"{long}\n\nonly one" and text[4] is None
+    assert got == {1: [0], 2: [0, 2], 3: [0], 5: [0], 11: [0]}
+    rows = lines.without(d, lines.dropped(d))
+    assert rows.columns == d.columns and rows.count() == len(docs)
+    text = {r.doc_id: r.text for r in rows.collect()}
+    assert text[2] == "" and text[1] == f"{long}\n\nonly one" and text[4] is None and text[None] == long
     assert lines.dropped(d.limit(0)).count() == 0
 
 
+def lines_by_definition(text):
+    """(pos, words) of the lines that aren't blank."""
+    out = []
+    for pos, line in enumerate((text or "").split("\n")):
+        low = "".join(c.lower() if c.isascii() else c for c in line)
+        found = re.findall(r"[a-z0-9\x80-\U0010ffff]+", low) or re.findall(r"[^ \t-\r]+", low)
+        if found:
+            out.append((pos, " ".join(found)))
+    return out
+
+
+def test_lines_split():
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "B", "\n", " ", "é", "中", "-", "7", "\r", "...", "\n\n"]) for _ in range(r.randrange(30))) for _ in range(300)] + ["", None, "\n", "x"]
+    for i, _, data, offsets in runs(pa.array(texts), 200):
+        x = lines.split(data, offsets)
+        want = [(i0, pos, form) for i0 in range(len(offsets) - 1) for pos, form in lines_by_definition(texts[i + i0])]
+        assert [(a, b, x.form(k)) for k, (a, b) in enumerate(zip(x.row.tolist(), x.pos.tolist(), strict=True))] == want
+        assert x.chars.tolist() == [len(form) for _, _, form in want]
+        by = {}
+        for form, h in zip([form for _, _, form in want], zip(*(v.tolist() for v in x.hashes()), strict=True), strict=True):
+            assert by.setdefault(form, h) == h
+        assert len(set(by.values())) == len(by)
+
+
 def near_lines():
     """Lines of 1 to 130 words, each with copies: a word added, a word or a tenth of the words or 3 % of the characters changed."""
     r, out = random.Random(21), []
@@ -311,12 +340,14 @@ def test_lines_recall(spark):
     texts = near_lines()
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
     a, b = d.toDF("a", "fa"), d.toDF("b", "fb")
-    similar = a.join(b, F.col("a") < F.col("b")).where("levenshtein(fa, fb, int(floor(greatest(length(fa), length(fb)) * 0.2 + 1e-9))) >= 0")
+    close = (F.length("fa") * 5 >= F.length("fb") * 4 - 5) & (F.length("fb") * 5 >= F.length("fa") * 4 - 5)  # else the distance is too large
+    similar = a.join(b, (F.col("a") < F.col("b")) & close).where("levenshtein(fa, fb, int(floor(greatest(length(fa), length(fb)) * 0.2 + 1e-9))) >= 0")
     pairs = [(r.a, r.b) for r in similar.select("a", "b").collect()]
     met = {}
-    for r in lines.buckets(d).join(d.select("doc_id", F.xxhash64(lines.words(F.col("text"))).alias("h1")), "h1").collect():
-        met.setdefault(r.doc_id, set()).add(r.bucket)
+    for r in lines.tabled(d).join(lines.fingerprinted(d), "h1").collect():
+        met.setdefault(r.doc_id, set()).add(r.key >> lines.LENGTH_BITS)
     found = [bool(met[x] & met[y]) for x, y in pairs]
+    print("recall", len(pairs), sum(found) / len(found))
     by = {}
     for (x, y), f in zip(pairs, found, strict=True):
         by.setdefault(min(9, len(texts[x].split()) // 12), []).append(f)
