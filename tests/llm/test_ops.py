@@ -316,6 +316,28 @@ def test_lines_split():
         assert len(set(by.values())) == len(by)
 
 
+def test_lines_within():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    r = random.Random(8)
+    for _ in range(400):
+        a = [r.choice("abcé") for _ in range(r.randrange(90))]
+        b = list(a)
+        for _ in range(r.randrange(20)):
+            b[r.randrange(len(b) + 1) : r.randrange(len(b) + 1)] = r.choices("abcé", k=r.randrange(3)) if r.random() < 0.2 else b[:0]
+            if b:
+                b[r.randrange(len(b))] = r.choice("abcé")
+        d = distance(a, b)
+        for most in {0, max(0, d - 1), d, d + 1, 5}:
+            assert lines.within("".join(a), "".join(b), most) == (d <= most), (a, b, d, most)
+
+
 def near_lines():
     """Lines of 1 to 130 words, each with copies: a word added, a word or a tenth of the words or 3 % of the characters changed."""
     r, out = random.Random(21), []
