@@ -10,11 +10,12 @@ the weighted Jaccard similarity (sum of smaller over sum of larger counts) of th
 
 A document that is shorter than an item but has 0.8 of its shingles' number at least is one window, the whole document.
 
-Items are collected in slices of SLICE, each a pass over the documents, so what goes to the executors is bounded.
+Items are collected in slices of about SLICE items and SLICE_BYTES, each a pass over the documents, so what goes to the
+executors is bounded (by the longest item beyond that).
 Documents aren't shuffled.
 
-Defined results: null texts are empty and hold nothing; items of fewer than 5 words have no shingle and are not looked
-for; of a document's windows for an item the most similar counts, the first of equals; equal items are all reported;
+Defined results: null texts are empty and hold nothing; an item of 1 to 4 words is one shingle, so it is found where its
+words stand in a document in a row; items without words are not looked for; of a document's windows for an item the most similar counts, the first of equals; equal items are all reported;
 rows with equal ids are searched one by one; empty tables give no rows; other columns are ignored.
 """
 
@@ -35,7 +36,8 @@ from codeweave.llm.textcols import GOLD, mix, runs, shingles, words
 SIZE, THRESHOLD = 5, 0.8
 RADIUS = 15
 BLOCKS = 4
-SLICE = 20_000
+#: Items and bytes of their texts in a pass: an index has 697 keys of two bytes for an item and block, so 45 MB.
+SLICE, SLICE_BYTES = 8_000, 16 << 20
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 
 #: All ways to change at most 3 of 16 bits.
@@ -79,7 +81,7 @@ class Items:
             keys = (self.prints[:, b, None] ^ NEAR[None, :]).ravel()
             order = np.argsort(keys, kind="stable")
             at = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << 16))])
-            self.tables.append((at, order // len(NEAR)))
+            self.tables.append((at, (order // len(NEAR)).astype(np.uint16)))  # a slice has fewer items than 2**16
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs within RADIUS."""
@@ -89,7 +91,7 @@ class Items:
             count = at[key + 1] - at[key]
             w = np.repeat(np.arange(len(key)), count)
             place = np.repeat(at[key] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            found.append(w * n + item[place])
+            found.append(w * n + item[place].astype(np.int64))
         pair = np.unique(np.concatenate(found))
         w, item = pair // n, pair % n
         apart = np.bitwise_count(prints[w] ^ self.prints[item]).sum(axis=1)
@@ -100,10 +102,13 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str]):
         by: dict[int, list[tuple[int, np.ndarray]]] = {}
         known = []
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for i, j, data, offsets in runs(pa.array(texts, pa.string())):
             h, _, first = words(data, offsets)
             for k in range(j - i):
                 own = h[first[k] : first[k + 1]]
+                if 0 < len(own) < SIZE:
+                    self.short.setdefault(len(own), []).append((int(shingles(own, np.array([0, len(own)]), len(own))[0][0]), ids[i + k]))
                 if len(own) >= SIZE:
                     by.setdefault(len(own), []).append((ids[i + k], own))
                     known.append(pairs_of(own))
@@ -113,8 +118,24 @@ class Index:
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.lengths = [Items(np.array([i for i, _ in v]), [h for _, h in v]) for _, v in sorted(by.items())]
 
+    def _equal(self, h: np.ndarray, row: np.ndarray, first: np.ndarray, size: int, items: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, float]]:
+        """As search(), for items of fewer than SIZE words: windows of the same words."""
+        if len(h) < size:
+            return
+        window = shingles(h, np.array([0, len(h)]), size)[0]
+        wanted = np.array([x for x, _ in items], np.uint64)
+        at = np.flatnonzero(np.isin(window, wanted))
+        at = at[at + size <= first[row[at] + 1]]
+        pair = np.stack([row[at].astype(np.uint64), window[at]], axis=1)
+        new, place = np.unique(pair, axis=0, return_index=True)
+        for (r, x), k in zip(new.tolist(), at[place].tolist(), strict=True):
+            for item in sorted(i for y, i in items if y == x):
+                yield int(r), item, int(k - first[r]), size, 1.0
+
     def search(self, h: np.ndarray, row: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(row, item, first word, words, similarity) of every row's best window for every item."""
+        for size, items in self.short.items():
+            yield from self._equal(h, row, first, size, items)
         if not len(self.known) or len(h) < SIZE:
             return
         pair = pairs_of(h)
@@ -173,7 +194,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared.ship(spark)
     benchmark = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slices = max(1, -(-benchmark.count() // SLICE))
+    size = benchmark.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    slices = max(1, -(-size.n // SLICE), -(-size.bytes // SLICE_BYTES))
 
     def one(k: int) -> DataFrame:
         mine = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()

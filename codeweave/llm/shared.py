@@ -125,7 +125,9 @@ def keyed(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
     mark = unused([*docs.columns, key], "id_again")
     marked = docs.join(small(again.where(F.col("doc_id").isNotNull()).withColumn(mark, F.lit(True)), 100_000), "doc_id", "left")
     odd = F.col("doc_id").isNull() | F.col(mark).isNotNull()
-    return marked.withColumn(key, F.when(odd, F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long"))).drop(mark), True
+    # A hash leaves out nulls, so what is null is hashed too.
+    own = F.xxhash64(F.lit("id and text"), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    return marked.withColumn(key, F.when(odd, own).otherwise(F.col("doc_id").cast("long"))).drop(mark), True
 
 
 def ship(spark: SparkSession) -> None:

@@ -5,7 +5,8 @@ features and the probabilities of the categories before it. Those inputs are out
 for every category, k models are fitted without one fold each, and the later models see only what a model said of
 rows it had not seen; a last fit over all folds scores new texts.
 
-Features are hashed: words, and the first 3 to 6 characters of words (in bytes, A-Z in lower case), present or not.
+Features are hashed: whole words, the first 3 to 6 bytes of words (A-Z in lower case) and, in words of more than LONG
+bytes, all pairs of neighbouring characters that begin with one of several bytes (scripts without spaces); present or not.
 Of all hashed features, those whose rates in the two classes differ most in standard errors are kept for a category;
 the linear models weigh only these, so what a long text has in plenty stays out of the sum.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeweave.llm import shared
-from codeweave.llm.textcols import BYTE, LOWER, M1, mix, runs
+from codeweave.llm.textcols import BYTE, LOWER, mix, powers, runs
 
 BITS = 20
 SAMPLE = 12_000
@@ -37,6 +38,8 @@ FOLDS = 5
 KEEP = 1536
 MIN_Z = 4.5
 PREFIXES = (3, 4, 5, 6)
+#: Words of more bytes give their pairs of characters of several bytes, too.
+LONG = 24
 #: A text is rejected from this probability of the last category on.
 REJECT = 0.5
 
@@ -58,16 +61,24 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     stops[:-1] &= ~inside[1:] | edge[1:n]
     end = np.flatnonzero(stops) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    padded = np.concatenate([BYTE[low], np.zeros(max(PREFIXES) + 1, np.uint64)])
+    # A hash of any stretch of bytes comes from sums over all before its ends.
+    power, inverse = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTE[low] * power[:n], out=total[1:])
+    part = lambda a, b: mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
     length = end - start
-    h = np.zeros(len(start), np.uint64)
-    parts = []
-    for k in range(int(min(length.max(initial=0), 64))):
-        more = length > k
-        h[more] = mix(h[more] * M1 + padded[start[more] + k])
-        if k + 1 in PREFIXES:
-            parts.append((row[more], h[more] + np.uint64(k + 1)))
-    parts.append((row, h ^ np.uint64(0x5555555555555555)))
+    parts = [(row, part(start, end) ^ np.uint64(0x5555555555555555))]
+    for k in PREFIXES:
+        more = length >= k
+        parts.append((row[more], part(start[more], start[more] + k)))
+    # Scripts without spaces: a long word's pairs of characters, all along it.
+    long = length > LONG
+    if long.any():
+        first = np.flatnonzero((low & 0xC0) != 0x80)
+        word = np.searchsorted(start, first, "right") - 1
+        third = np.append(first[2:], [n, n])[: len(first)]
+        ok = (word >= 0) & long[word] & (third <= end[word]) & (low[first] >= 128)
+        parts.append((row[word[ok]], part(first[ok], third[ok]) ^ np.uint64(0x3333333333333333)))
     rows = np.concatenate([r for r, _ in parts])
     number = (mix(np.concatenate([x for _, x in parts])) >> np.uint64(64 - BITS)).astype(np.int64)
     pair = np.unique((rows << BITS) | number)
@@ -160,7 +171,7 @@ def train(rows: Rows, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
     for j in range(labels.shape[1]):
         y = labels[:, j].astype(float)
         out = np.zeros(rows.n)
-        for f in range(FOLDS):
+        for f in range(FOLDS if j + 1 < labels.shape[1] else 0):  # no model reads the last one's
             inside, left = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
             if len(left):
                 out[left] = predict(fit(rows.take(inside), earlier[inside], y[inside]), rows.take(left), earlier[left])
@@ -204,11 +215,9 @@ def train_table(docs: DataFrame, labels: DataFrame, categories: list[str], sampl
     return train(rows, labels, folds)
 
 
-def score(docs: DataFrame, chain: list[Linear], categories: list[str]) -> DataFrame:
-    """docs with a column p_<category> (double) for each category. Models go out in the closure: at most 1536 weights each."""
+def score(docs: DataFrame, chain: list[Linear], names: list[str]) -> DataFrame:
+    """docs with a new column (double) for each category's probability. Models go out in the closure: at most 1536 weights each."""
     shared.ship(docs.sparkSession)
-    names = [f"p_{c}" for c in categories]
-    docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(x, T.DoubleType()) for x in names]])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,13 +247,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
 
 
-def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with p_poor and p_toxic, from a chain fitted on the labelled rows of the documents table."""
+def scored(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """docs with a probability for each category, from a chain fitted on the labelled rows of the documents table, and the new columns' names.
+
+    They are p_poor and p_toxic, or longer names where docs has those.
+    """
     chain = train_table(shared.table(spark, sf_dir, "documents"), labels(spark, sf_dir), CATEGORIES)
-    return score(docs, chain, CATEGORIES)
+    names = [shared.unused(docs.columns, f"p_{c}") for c in CATEGORIES]
+    return score(docs, chain, names), names
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its categories' probabilities and the verdict."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scored(spark, docs, sf_dir).select("doc_id", "p_poor", "p_toxic", (F.col("p_toxic") >= REJECT).alias("toxic"))
+    return scored(spark, docs, sf_dir)[0].select("doc_id", "p_poor", "p_toxic", (F.col("p_toxic") >= REJECT).alias("toxic"))

@@ -75,13 +75,13 @@ def test_toxicity(spark):
     docs = spark.createDataFrame([*rows, (900, None), (901, ""), (901, "")], "doc_id long, text string").withColumn("p_toxic", F.lit("clash"))
     table = spark.createDataFrame([(i, int(a), int(b)) for i, a, b in labels] + [(1, None, 1)], "doc_id long, poor int, toxic int")
     chain = toxicity.train_table(docs, table, ["poor", "toxic"])
-    got = {r.doc_id: r.p_toxic for r in toxicity.score(docs, chain, ["poor", "toxic"]).collect()}
+    got = {r.doc_id: r.p_toxic for r in toxicity.score(docs.drop("p_toxic"), chain, ["p_poor", "p_toxic"]).collect()}
     assert all((got[k] >= 0.5) == t for k, _, t in labels)
     assert got[900] < 0.5 and got[900] == got[901]
     assert chain[1].earlier.shape == (1,)  # the second category is fed the first's probability
     none = toxicity.train_table(docs, table.limit(0), ["poor", "toxic"])
-    assert all(r.p_toxic < 0.01 for r in toxicity.score(docs, none, ["poor", "toxic"]).collect())
-    assert toxicity.score(docs.limit(0), chain, ["poor", "toxic"]).count() == 0
+    assert all(r.p_toxic < 0.01 for r in toxicity.score(docs.drop("p_toxic"), none, ["p_poor", "p_toxic"]).collect())
+    assert toxicity.score(docs.drop("p_toxic").limit(0), chain, ["p_poor", "p_toxic"]).count() == 0
 
 
 # --- op3
@@ -202,12 +202,47 @@ def test_leaks(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in leaks.matches(d, b).collect()}
-    assert set(got) == {(1, 1), (1, 5), (5, 2), (6, 2), (8, 1), (8, 5)}
+    assert set(got) == {(1, 1), (1, 5), (5, 2), (6, 2), (8, 1), (8, 5), (9, 3)}
     assert got[1, 1].start_word == 50 and got[1, 1].n_words == 20 and got[1, 1].similarity == 1
     assert 0.8 <= got[6, 2].similarity < 1
     assert leaks.matches(d, b.limit(0)).count() == 0 and leaks.matches(d.limit(0), b).count() == 0
 
 
+def test_leaks_of_few_words(spark):
+    docs = [(1, "a b c a  B"), (2, "b"), (3, "a\tb"), (4, "a"), (5, "b a"), (6, None)]
+    items = [(1, "A b"), (2, "b"), (3, "c a b b"), (4, ""), (5, "a b")]
+    found = leaks.matches(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in found}
+    assert got == {(1, 1): (0, 2, 1.0), (1, 5): (0, 2, 1.0), (1, 2): (1, 1, 1.0), (2, 2): (0, 1, 1.0), (3, 1): (0, 2, 1.0), (3, 5): (0, 2, 1.0), (3, 2): (1, 1, 1.0), (5, 2): (0, 1, 1.0)}
+
+
+def test_leaks_against_all_windows(spark):
+    """Every window of every item's length, compared exactly; the words of some windows are changed."""
+    r = random.Random(17)
+    items = [(k, prose(n, 950 + k)) for k, n in enumerate((15, 15, 22, 40, 60))]
+    docs = []
+    for k in range(60):
+        w = items[k % 5][1].split()
+        for i in r.sample(range(len(w)), k // 5 % 3):
+            w[i] = "other"
+        docs.append((k, " ".join([prose(r.randrange(40), k), *w[: len(w) - (k % 7 == 0)], prose(r.randrange(40), 100 + k)])))
+    want = {}
+    for i, t in docs:
+        w = t.lower().split()
+        for item, text in items:
+            own, n = text.split(), len(text.split())
+            grams = lambda x: Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4))
+            b = grams(own)
+            for s in range(len(w) - n + 1):
+                a = grams(w[s : s + n])
+                like = sum((a & b).values()) / sum((a | b).values())
+                if like >= 0.8 and like > want.get((i, item), (0, 0))[0]:
+                    want[i, item] = (like, s)
+    got = {(x.doc_id, x.item_id): (x.similarity, x.start_word) for x in leaks.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
 def test_leaks_in_shorter_documents(spark):
     item = prose(50, 910).split()
     docs = [(1, " ".join(item[:46])), (2, " ".join(item[4:])), (3, " ".join(item[:41])), (4, " ".join(item[:40])), (5, " ".join(item)), (6, prose(46, 911)), (7, prose(3, 912))]
