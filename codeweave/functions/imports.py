@@ -14,19 +14,24 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
+def _trim(c: Column) -> Column:
+    """Without white space of any kind (Unicode's too) at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def _parts(c: Column) -> Column:
     """A comma list without aliases, trimmed, without empty entries."""
-    items = F.transform(F.split(c, ","), lambda x: F.trim(F.split_part(F.trim(x), F.lit(" as "), F.lit(1))))
+    items = F.transform(F.split(c, ","), lambda x: _trim(F.split_part(_trim(x), F.lit(" as "), F.lit(1))))
     return F.filter(items, lambda x: x != "")
 
 
 def python_import(text: Column, strict: bool = True) -> Column:
     """`from M import a, b as c` → a, M.a, b, M.b (M without leading dots, absent if empty; `*` → M); `import a.b as x, c` → a.b, c."""
-    t = F.trim(text)
+    t = _trim(text)
     if strict:
-        t = F.trim(F.regexp_replace(t, r"[()\s]+", " "))
-    module = F.regexp_replace(F.regexp_extract(t, r"^from\s+([\w.]+)\s+import\s+(.+)", 1), r"^\.+", "")
-    names = F.regexp_extract(t, r"^from\s+([\w.]+)\s+import\s+(.+)", 2)
+        t = _trim(F.regexp_replace(t, r"(?U)[()\s]+", " "))
+    module = F.regexp_replace(F.regexp_extract(t, r"(?U)^from\s+([\w.]+)\s+import\s+(.+)", 1), r"^\.+", "")
+    names = F.regexp_extract(t, r"(?U)^from\s+([\w.]+)\s+import\s+(.+)", 2)
     both = F.flatten(
         F.transform(
             _parts(names),
@@ -35,20 +40,20 @@ def python_import(text: Column, strict: bool = True) -> Column:
             .otherwise(F.array(n, F.concat(module, F.lit("."), n))),
         )
     )
-    plain = _parts(F.regexp_extract(t, r"^import\s+(.+)", 1))
+    plain = _parts(F.regexp_extract(t, r"(?U)^import\s+(.+)", 1))
     return F.when(names != "", both).otherwise(plain)
 
 
 def java_import(text: Column, strict: bool = True) -> Column:
     """`import [static] a.b.C;` → C, a.b.C."""
-    name = F.regexp_extract(F.trim(text), r"^import\s+(?:static\s+)?([\w.]+)", 1)
-    wildcard = F.trim(text).rlike(r"\.\*\s*;?\s*$") if strict else F.lit(False)
+    name = F.regexp_extract(_trim(text), r"(?U)^import\s+(?:static\s+)?([\w.]+)", 1)
+    wildcard = text.rlike(r"(?U)\.\*\s*;?\s*$") if strict else F.lit(False)
     return F.when((name == "") | wildcard, _empty()).otherwise(F.array(F.element_at(F.split(name, r"\."), -1), name))
 
 
 def typescript_import(text: Column) -> Column:
     """`name|module` → name."""
-    name = F.trim(F.split_part(text, F.lit("|"), F.lit(1)))
+    name = _trim(F.split_part(text, F.lit("|"), F.lit(1)))
     return F.when(name == "", _empty()).otherwise(F.array(name))
 
 

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweave import schemas
@@ -21,11 +21,20 @@ from codeweave import schemas
 SMALL_EDGES = 50_000
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share: spark.checkpoint.dir, or a temporary one on a single machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/codeweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir, a temporary one where unset) and read again."""
+    """df written to the shared folder and read again."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{base.rstrip('/')}/codeweave-{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -176,8 +185,12 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     return seen.where("hops > 0")
 
 
-def shortest_paths(edges: DataFrame, a: str, b: str, most: int = 5, longest: int = 64) -> DataFrame:
-    """(path array) of the first `most` shortest paths from a to b, in order of their ids; equal ends: one path of one."""
+def shortest_paths(edges: DataFrame, a: str, b: str, most: int = 5) -> DataFrame:
+    """(path array) of the first `most` shortest paths from a to b, in order of their ids; equal ends: one path of one.
+
+    Paths grow backwards from b. At each level a head keeps the first `most` of its paths: what follows a head doesn't
+    depend on what comes before it, so no other one can be among the first in the end.
+    """
     spark = edges.sparkSession
     known = vertices(edges).where(F.col("id").isin(a, b))
     if a == b:
@@ -185,23 +198,25 @@ def shortest_paths(edges: DataFrame, a: str, b: str, most: int = 5, longest: int
     # Levels first, so that only vertices on some shortest path carry paths.
     seen = cut(known.where(F.col("id") == a).select("id", F.lit(0).alias("level")))
     front = seen
-    for k in range(1, longest + 1):
+    last = 0
+    while True:
+        last += 1
         step = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(k)))
+        front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(last)))
         if not front.limit(1).count():
             return spark.createDataFrame([], "path array<string>")
         seen = seen.unionByName(front)
+        if last % 16 == 0:  # not a file more to read for every level
+            seen = cut(seen)
         if front.where(F.col("id") == b).limit(1).count():
             break
-    else:
-        return spark.createDataFrame([], "path array<string>")
-    last = front.agg(F.max("level")).first()[0]
     paths = spark.createDataFrame([([b],)], "path array<string>")
+    first = Window.partitionBy(F.get("path", F.lit(0))).orderBy("path")
     for k in range(last - 1, -1, -1):
         level = seen.where(F.col("level") == k).select(F.col("id").alias("src"))
         step = edges.join(level, "src")
         paths = paths.join(step, F.get("path", F.lit(0)) == step.dst).select(F.concat(F.array("src"), "path").alias("path"))
-        paths = cut(paths)
+        paths = cut(paths.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= most).drop("_rank"))
     return paths.orderBy("path").limit(most)
 
 

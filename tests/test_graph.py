@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from hypothesis import HealthCheck, given, settings
@@ -32,6 +33,13 @@ def test_paths(spark):
     assert graph.shortest_paths(e, "a", "none").collect() == []
 
 
+def test_first_of_many_shortest_paths(spark):
+    layers = [["a"], *[[f"{k}{x}" for x in "pqr"] for k in range(3)], ["z"]]
+    e = edges(spark, [(x, y) for here, there in zip(layers, layers[1:], strict=False) for x in here for y in there])
+    want = sorted([list(p) for p in itertools.product(*layers)])[:4]
+    assert [r.path for r in graph.shortest_paths(e, "a", "z", 4).collect()] == want
+
+
 def test_hubs(spark):
     e = edges(spark, [("x", f"y{k}") for k in range(20)] + [("z", f"w{k}") for k in range(19)])
     g = graph.degrees(e, graph.vertices(e, spark.createDataFrame([("lone",)], "id string")))
