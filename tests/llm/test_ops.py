@@ -393,6 +393,26 @@ def near_lines():
     return sorted({" ".join(x) for x in out})
 
 
+def test_lines_possible_loses_no_pair():
+    r = random.Random(11)
+    a, b, most = [], [], []
+    for letters in ("ab", "abcdefghijklmnop ", "aß日𝒳 é"):
+        for n in (0, 1, 2, 5, 40, 200):
+            for edits in (0, 1, 3, 9):
+                x = [r.choice(letters) for _ in range(n)]
+                y = list(x)
+                for _ in range(edits):
+                    at, kind = r.randrange(len(y) + 1), r.randrange(3)
+                    y[at : at + (kind > 0)] = [r.choice(letters)] if kind < 2 else []
+                a.append("".join(x))
+                b.append("".join(y))
+                most.append(edits)
+    assert lines.possible(a, b, np.array(most)).all()
+    far = ["one line about the weather of the north", "some other words, cut from a quite different page"]
+    assert lines.possible(far[:1], far[1:], np.array([9])).tolist() == [False]
+    assert lines.possible([""], [""], np.array([0])).tolist() == [True]
+
+
 def test_lines_recall(spark):
     texts = near_lines()
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
