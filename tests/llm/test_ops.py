@@ -408,9 +408,16 @@ def test_lines_possible_loses_no_pair():
                 b.append("".join(y))
                 most.append(edits)
     assert lines.possible(a, b, np.array(most)).all()
+    assert lines.near(a, b, most).all()
+    few = [k for k in range(len(a)) if len(a[k]) <= 64]
+    for k, d in zip(few, lines.distances([a[k] for k in few], [b[k] for k in few]).tolist(), strict=True):
+        assert lines.within(a[k], b[k], d) and (not d or not lines.within(a[k], b[k], d - 1)), (a[k], b[k], d)
+        assert lines.near([a[k]], [b[k]], [d]).all() and not (d and lines.near([a[k]], [b[k]], [d - 1]).any())
     far = ["one line about the weather of the north", "some other words, cut from a quite different page"]
     assert lines.possible(far[:1], far[1:], np.array([9])).tolist() == [False]
     assert lines.possible([""], [""], np.array([0])).tolist() == [True]
+    assert lines.distances([], []).tolist() == [] and lines.near([], [], []).tolist() == []
+    assert lines.distances(["", "a" * 64], ["abc", "b" + "a" * 64]).tolist() == [3, 1]
 
 
 def test_lines_recall(spark):
