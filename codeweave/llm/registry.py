@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from codeweave.llm import caps, chat, ctw, leaks, lines, mixing, neardup, tiers, tokens, toxicity, warc
+from codeweave.llm import caps, chat, ctw, leaks, lines, mixing, neardup, tiers, tokens, toxicity, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_neardup": neardup.op9_neardup,
     "op10_caps": caps.op10_caps,
     "op11_search": tiers.op11_search,
+    "op12_urls": urls.op12_urls,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {"op1_warc": warc.OP1_SQL, "op6_chat": chat.OP6_SQL, "op10_caps": caps.OP10_SQL, "op11_search": tiers.OP11_SQL}
