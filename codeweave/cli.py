@@ -63,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "query":
         show(rows(views.symbol(args.symbol)))
     elif args.command == "trace":
-        show(views.trace(args.a, args.b))
+        show(rows(views.trace(args.a, args.b)))
     elif args.command == "related":
         show(rows(views.related(args.symbol)))
     elif args.command == "hotspots":

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweave.operators.tables import ship
+
 ROWS = "file_path string, language string, what int, ordinal int, name string, qualified_name string, kind string, start_line int, end_line int, signature string, source string, ref_text string"
 
 
@@ -16,6 +18,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Symbols keep the order of their file: of equal ids the last one counts. Bytes that aren't UTF-8 are replaced.
     """
+    ship(files.sparkSession)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from codeweave.functions.lang import extract as one

@@ -1,42 +1,21 @@
 """Graph operators: vertices and edges are DataFrames (id) and (src, dst).
 
-Loops cut their lineage by writing each round to the cluster's checkpoint folder. Small graphs (a counted bound) run
-PageRank in one task instead, since a round of jobs costs more than the arithmetic.
+Loops cut their lineage by writing each round to the cluster's checkpoint folder. Rounds are in centrality (PageRank,
+betweenness), paths (reachability, shortest paths) and cycles (strongly connected components).
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeweave import schemas
+from codeweave.operators.centrality import betweenness, pagerank
+from codeweave.operators.cycles import components
+from codeweave.operators.paths import reachable, shortest_paths, steps, traces
+from codeweave.operators.tables import cut, shared_folder
 
-#: Graphs of at most so many edges are broadcast or worked on in one task.
-SMALL_EDGES = 50_000
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share: spark.checkpoint.dir, or a temporary one on a single machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/codeweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
-    spark = df.sparkSession
-    path = shared_folder(spark, "graph")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["betweenness", "components", "cut", "degrees", "god_objects", "hub_files", "metrics", "neighbourhood", "orphans", "pagerank", "reachable", "shared_folder", "shortest_paths", "simple_edges", "steps", "traces", "vertices"]
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -58,112 +37,6 @@ def degrees(edges: DataFrame, v: DataFrame) -> DataFrame:
     return sums.select("id", F.col("in_degree").cast("int").alias("in_degree"), F.col("out_degree").cast("int").alias("out_degree"))
 
 
-def _small_pagerank(e: pd.DataFrame, ids: list, mode: str, damping: float, rounds: int) -> dict:
-    import numpy as np
-
-    at = {v: i for i, v in enumerate(ids)}
-    n = len(ids)
-    s, d = (np.array([at[x] for x in e[c]], int) for c in ("src", "dst"))
-    share = 1 / np.bincount(d, minlength=n).clip(1)
-    dangling = np.bincount(d, minlength=n) == 0
-    rank = np.full(n, 1 / n)
-    for _ in range(rounds):
-        new = np.bincount(s, weights=(rank * share)[d], minlength=n)
-        if mode == "standard":
-            new = new + rank[dangling].sum() / n
-        new = (1 - damping) / n + damping * new
-        done = mode == "standard" and np.abs(new - rank).sum() < 1e-6 * n
-        rank = new
-        if done:
-            break
-    return dict(zip(ids, rank.tolist(), strict=True))
-
-
-def pagerank(edges: DataFrame, v: DataFrame, mode: str = "fixed", damping: float = 0.85, rounds: int = 100) -> DataFrame:
-    """(id, pagerank) on the reversed graph: who calls important code ranks high.
-
-    pr(v) = (1 - d) / n + d * sum over v → c of pr(c) / in_degree(c). "fixed": so many rounds, nothing redistributed;
-    "standard": what vertices without callers hold is spread evenly, and rounds end at a tolerance.
-    """
-    spark = edges.sparkSession
-    edges = cut(edges)
-    v = cut(v)
-    n = v.count()
-    if not n:
-        return v.withColumn("pagerank", F.lit(0.0))
-    if edges.count() <= SMALL_EDGES and n <= SMALL_EDGES:
-        both = edges.select(F.lit(0).alias("g"), "src", "dst").unionByName(v.select(F.lit(0).alias("g"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")))
-
-        def one(rows: pd.DataFrame) -> pd.DataFrame:
-            e = rows[rows["dst"].notna()]
-            ids = sorted(rows[rows["dst"].isna()]["src"])
-            return pd.DataFrame(list(_small_pagerank(e, ids, mode, damping, rounds).items()), columns=["id", "pagerank"])
-
-        return both.groupBy("g").applyInPandas(one, "id string, pagerank double")
-    weight = edges.groupBy("dst").agg(F.count("*").alias("callers"))
-    links = cut(edges.join(weight, "dst"))
-    rank = v.withColumn("pagerank", F.lit(1.0 / n))
-    for k in range(rounds):
-        sent = links.join(rank.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("pagerank") / F.col("callers")).alias("got"))
-        spread = 0.0
-        if mode == "standard":
-            spread = (rank.join(weight, rank.id == weight.dst, "left_anti").agg(F.sum("pagerank")).first()[0] or 0.0) / n
-        new = v.join(sent, "id", "left").select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + spread)).alias("pagerank"))
-        if k % 5 == 4 or mode == "standard":
-            new = cut(new)
-        if mode == "standard":
-            moved = new.alias("a").join(rank.alias("b"), "id").agg(F.sum(F.abs(F.col("a.pagerank") - F.col("b.pagerank")))).first()[0]
-            if moved < 1e-6 * n:
-                return new
-        rank = new
-    return rank
-
-
-def betweenness(edges: DataFrame, v: DataFrame, exact: int = schemas.EXACT_VERTICES, sample: int = 500, seed: int = 42) -> DataFrame:
-    """(id, betweenness), directed, over (n - 1)(n - 2): Brandes' sums from every source, or from `sample` seeded ones.
-
-    Sources are dealt over tasks; each holds the adjacency of the graph, which is broadcast and so must have at most
-    100 x SMALL_EDGES edges (a larger graph raises an error).
-    """
-    spark = edges.sparkSession
-    n = v.count()
-    if edges.count() > 100 * SMALL_EDGES:
-        raise ValueError("betweenness holds the adjacency in every task: the graph has too many edges")
-    near: dict = {}
-    for r in edges.orderBy("src", "dst").toLocalIterator():
-        near.setdefault(r.src, []).append(r.dst)
-    sent = spark.sparkContext.broadcast(near)
-    sources = v if n <= exact else v.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-    scale = (n / min(n, sample) if n > exact else 1.0) / max(1, (n - 1) * (n - 2))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = sent.value
-        total: dict = {}
-        for batch in batches:
-            for s in batch["id"]:
-                paths, level, order, before = {s: 1}, {s: 0}, [s], {s: []}
-                for x in order:
-                    for y in graph.get(x, ()):
-                        if y not in level:
-                            level[y], paths[y], before[y] = level[x] + 1, 0, []
-                            order.append(y)
-                        if level[y] == level[x] + 1:
-                            paths[y] += paths[x]
-                            before[y].append(x)
-                owed = dict.fromkeys(order, 0.0)
-                for y in reversed(order):
-                    for x in before[y]:
-                        owed[x] += paths[x] / paths[y] * (1 + owed[y])
-                    if y != s:
-                        total[y] = total.get(y, 0.0) + owed[y]
-        yield pd.DataFrame({"id": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype=float)})
-
-    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
-    parts = sources.select("id").repartition(tasks).mapInPandas(each, "id string, part double")
-    sums = parts.groupBy("id").agg(F.sum("part").alias("part"))
-    return v.join(sums, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
-
-
 def metrics(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """The metrics table: of all symbols and ends of resolved edges."""
     e = cut(simple_edges(edges))
@@ -172,99 +45,6 @@ def metrics(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("symbol_id"), "in_degree", "out_degree", "betweenness", "pagerank")
 
 
-def reachable(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
-    """(id, hops) of what can be reached from the ids of start in 1 to depth steps, start itself left out."""
-    seen = cut(start.select("id", F.lit(0).alias("hops")).distinct())
-    front = seen
-    for k in range(1, depth + 1):
-        step = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(k)))
-        if not front.limit(1).count():
-            break
-        seen = seen.unionByName(front)
-    return seen.where("hops > 0")
-
-
-def shortest_paths(edges: DataFrame, a: str, b: str, most: int = 5) -> DataFrame:
-    """(path array) of the first `most` shortest paths from a to b, in order of their ids; equal ends: one path of one.
-
-    Paths grow backwards from b. At each level a head keeps the first `most` of its paths: what follows a head doesn't
-    depend on what comes before it, so no other one can be among the first in the end.
-    """
-    spark = edges.sparkSession
-    known = vertices(edges).where(F.col("id").isin(a, b))
-    if a == b:
-        return known.limit(1).select(F.array("id").alias("path"))
-    # Levels first, so that only vertices on some shortest path carry paths.
-    seen = cut(known.where(F.col("id") == a).select("id", F.lit(0).alias("level")))
-    front = seen
-    last = 0
-    while True:
-        last += 1
-        step = front.join(edges, front.id == edges.src).select(F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(last)))
-        if not front.limit(1).count():
-            return spark.createDataFrame([], "path array<string>")
-        seen = seen.unionByName(front)
-        if last % 16 == 0:  # not a file more to read for every level
-            seen = cut(seen)
-        if front.where(F.col("id") == b).limit(1).count():
-            break
-    paths = spark.createDataFrame([([b],)], "path array<string>")
-    first = Window.partitionBy(F.get("path", F.lit(0))).orderBy("path")
-    for k in range(last - 1, -1, -1):
-        level = seen.where(F.col("level") == k).select(F.col("id").alias("src"))
-        step = edges.join(level, "src")
-        paths = paths.join(step, F.get("path", F.lit(0)) == step.dst).select(F.concat(F.array("src"), "path").alias("path"))
-        paths = cut(paths.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= most).drop("_rank"))
-    return paths.orderBy("path").limit(most)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the strongly connected components of two vertices or more; component is the smallest id.
-
-    Vertices without an edge in or out of the rest are trimmed; then every vertex takes the smallest id that reaches it
-    (colours), and within a colour those that reach its root are the root's component. The rest goes round again.
-    """
-    left = cut(edges.where("src <> dst").distinct())
-    found = None
-    while True:
-        while True:  # trim
-            keep = left.select(F.col("src").alias("id")).intersect(left.select(F.col("dst").alias("id")))
-            small = cut(left.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-            if small.count() == left.count():
-                break
-            left = small
-        if not left.limit(1).count():
-            break
-        colour = cut(vertices(left).withColumn("colour", F.col("id")))
-        while True:
-            sent = left.join(colour, left.src == colour.id).select(left.dst.alias("id"), "colour")
-            new = cut(sent.unionByName(colour).groupBy("id").agg(F.min("colour").alias("colour")))
-            changed = new.alias("n").join(colour.alias("o"), "id").where("n.colour <> o.colour").limit(1).count()
-            colour = new
-            if not changed:
-                break
-        # Backwards from each root, inside its colour.
-        a, b = colour.select(F.col("id").alias("src"), F.col("colour").alias("ca")), colour.select(F.col("id").alias("dst"), F.col("colour").alias("cb"))
-        inside = cut(left.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"))
-        seen = cut(colour.where("id = colour"))
-        front = seen
-        while True:
-            step = inside.join(front.select(F.col("id").alias("dst"), "colour"), "dst").select(F.col("src").alias("id"), "colour").distinct()
-            front = cut(step.join(seen.select("id"), "id", "left_anti"))
-            if not front.limit(1).count():
-                break
-            seen = cut(seen.unionByName(front))
-        done = seen.select("id", F.col("colour").alias("component"))
-        found = done if found is None else found.unionByName(done)
-        left = cut(left.join(seen.select(F.col("id").alias("src")), "src", "left_anti").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti"))
-    if found is None:
-        return edges.sparkSession.createDataFrame([], "id string, component string")
-    sizes = found.groupBy("component").count().where("count > 1").select("component")
-    return found.join(sizes, "component", "left_semi").select("id", "component")
-
-
 def god_objects(degree: DataFrame, least: int = schemas.GOD_DEGREE, top: int | None = schemas.TOP) -> DataFrame:
     """Vertices of total degree `least` or more, the largest first."""
     total = F.col("in_degree") + F.col("out_degree")

@@ -23,9 +23,17 @@ def resolve(refs: DataFrame, symbols: DataFrame, strict: bool = True) -> DataFra
     A left join on the name: the symbols' side is broadcast if it is small, else both are shuffled and AQE splits what
     a popular name makes large. One edge stays of each (source, target, kind), resolved if any was.
     """
-    found = names(refs, strict).join(symbols.select(F.col("name").alias("leaf"), F.col("id").alias("target")), "leaf", "left")
-    edges = found.select("source_id", F.coalesce("target", "candidate").alias("target_id"), "kind", F.col("target").isNotNull().alias("resolved"))
-    return edges.groupBy("source_id", "target_id", "kind").agg(F.max("resolved").alias("resolved"))
+    return resolve_named(names(refs, strict), symbols)
+
+
+def resolve_named(found: DataFrame, symbols: DataFrame, *by: str) -> DataFrame:
+    """As resolve(), for what names() made of references; the columns `by` of these stay, edges are told apart by them.
+
+    An edge depends on its name alone: references and symbols of some names give these names' edges.
+    """
+    rows = found.join(symbols.select(F.col("name").alias("leaf"), F.col("id").alias("target")), "leaf", "left")
+    edges = rows.select("source_id", F.coalesce("target", "candidate").alias("target_id"), "kind", F.col("target").isNotNull().alias("resolved"), *by)
+    return edges.groupBy("source_id", "target_id", "kind", *by).agg(F.max("resolved").alias("resolved"))
 
 
 def resolution_ratio(edges: DataFrame) -> DataFrame:

@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    return files_of(table(spark, sf_dir, "documents"))
+
+
+def files_of(documents: DataFrame) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     text = F.coalesce("text", F.lit(""))
-    return d.select(path.alias("path"), F.col("lang").alias("language"), F.sha2(text, 256).alias("content_hash"), line_count(text).alias("line_count"))
+    return documents.select(path.alias("path"), F.col("lang").alias("language"), F.sha2(text, 256).alias("content_hash"), line_count(text).alias("line_count"))
 
 
 FILES = """files AS (SELECT concat_ws('/', source, lang, doc_id || '.txt') AS path, lang AS language, sha256(coalesce(text, '')) AS content_hash,
@@ -40,7 +43,11 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(page_path(F.col("page_id")).alias("file_path"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return symbols_of(table(spark, sf_dir, "pages"))
+
+
+def symbols_of(pages: DataFrame) -> DataFrame:
+    p = pages.select(page_path(F.col("page_id")).alias("file_path"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     words = p.select("file_path", F.posexplode(F.regexp_extract_all("title", F.lit("([A-Za-z]+)"), 1)).alias("at", "word"))
     words = words.groupBy("file_path", F.lower("word").alias("name")).agg((F.min("at") + 1).cast("int").alias("start_line"))
     kind = F.element_at(F.array(F.lit("class"), F.lit("function"), F.lit("method")), (F.length("name") % 3 + 1).cast("int"))
@@ -58,7 +65,11 @@ symbols AS (SELECT file_path || '::' || name AS id, file_path, name, name AS qua
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(page_path(F.col("page_id")).alias("file_path"), F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), 1)).alias("word"))
+    return refs_of(table(spark, sf_dir, "pages"))
+
+
+def refs_of(pages: DataFrame) -> DataFrame:
+    p = pages.select(page_path(F.col("page_id")).alias("file_path"), F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), 1)).alias("word"))
     kind = F.when(F.length("word") % 4 == 0, "inherits").otherwise("calls")
     return p.select(F.concat("file_path", F.lit("::__module__")).alias("source_id"), F.lower("word").alias("ref_text"), kind.alias("kind"), "file_path", F.lit("python").alias("language"))
 
@@ -99,6 +110,19 @@ def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUPPLIES = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
 
 
+def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and the parts that come next to them in an order: a graph with large cycles."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("a <> b")
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    return rows.select(name("a").alias("src"), name("b").alias("dst"), "a", "b").distinct()
+
+
+FOLLOWS = """e AS MATERIALIZED (SELECT DISTINCT 'p' || a AS src, 'p' || b AS dst, a, b FROM (SELECT l_partkey AS a,
+  lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem) WHERE a <> b),
+v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
+
+
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary of every third page and its staleness."""
     p = table(spark, sf_dir, "pages").where("page_id % 3 = 0")

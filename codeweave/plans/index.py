@@ -112,11 +112,14 @@ class Views:
         top = self.metrics.orderBy(F.desc("pagerank"), "symbol_id").limit(n)
         return top.join(self.symbols, top.symbol_id == self.symbols.id).select("id", "qualified_name", "file_path", "pagerank", "in_degree", "out_degree").orderBy(F.desc("pagerank"), "id")
 
-    def trace(self, a: str, b: str, most: int = 5) -> list[list[str]]:
-        """Shortest paths between all symbols of two names."""
+    def trace(self, a: str, b: str, most: int = 5) -> DataFrame:
+        """(source, target, path_no, position, id, name, file_path): shortest paths between all symbols of two names, in one search."""
         e = graph.cut(graph.simple_edges(self.edges))
-        ids = lambda n: [r.id for r in self.symbols.where((F.col("name") == n) | (F.col("id") == n)).select("id").orderBy("id").collect()]
-        return [r.path for x in ids(a) for y in ids(b) for r in graph.shortest_paths(e, x, y, most).collect()]
+        ids = lambda n, c: self.symbols.where((F.col("name") == n) | (F.col("id") == n)).select(F.lit(f"{a} {b}").alias("asked"), F.col("id").alias(c))
+        pairs = ids(a, "a").join(ids(b, "b"), "asked").select(F.struct("a", "b").alias("pair"), "a", "b")
+        steps = graph.steps(graph.traces(e, pairs, most))
+        named = self.named(steps.select(F.col("pair.a").alias("source"), F.col("pair.b").alias("target"), "path_no", "position", "id"))
+        return named.select("source", "target", "path_no", "position", "id", "name", "file_path").orderBy("source", "target", "path_no", "position")
 
     def related(self, name: str) -> DataFrame:
         start = self.symbols.where((F.col("name") == name) | (F.col("id") == name)).select("id").orderBy("id").limit(1)

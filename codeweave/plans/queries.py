@@ -167,9 +167,6 @@ def callees(spark, d):
     return X.edges(spark, d).where("kind = 'calls' and resolved").select("source_id", "target_id")
 
 
-CENTRE = "FRANCE"
-
-
 @query(f"""WITH {X.TRADE}, n AS (SELECT src AS id FROM e WHERE dst = (SELECT min(id) FROM v) UNION SELECT dst FROM e WHERE src = (SELECT min(id) FROM v) UNION SELECT min(id) FROM v)
 SELECT src, dst FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""")
 def neighborhood(spark, d):
@@ -213,13 +210,17 @@ def hub_files(spark, d):
     return graph.hub_files(_metric_edges(spark, d), X.symbols(spark, d))
 
 
-RANK = f"""WITH RECURSIVE {X.TRADE}, n AS (SELECT count(*) AS n FROM v), d AS (SELECT dst, count(*) AS c FROM e GROUP BY dst),
+def _rank_sql(graph: str) -> str:
+    return f"""WITH RECURSIVE {graph}, n AS (SELECT count(*) AS n FROM v), d AS (SELECT dst, count(*) AS c FROM e GROUP BY dst),
 r(step, id, pr) AS (SELECT 0, id, 1.0::DOUBLE / n.n FROM v, n UNION ALL
   SELECT s.step + 1, v.id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * coalesce(sum(r.pr / d.c), 0) FROM (SELECT max(step) AS step FROM r) s CROSS JOIN n CROSS JOIN v
   LEFT JOIN e ON e.src = v.id LEFT JOIN d ON d.dst = e.dst LEFT JOIN r ON r.id = e.dst WHERE s.step < 100 GROUP BY s.step, v.id, n.n),
 ranks AS (SELECT id, pr FROM r WHERE step = 100)"""
 
 
+RANK = _rank_sql(X.TRADE)
+
+
 def _ranked(spark, d) -> tuple[DataFrame, DataFrame]:
     e = graph.cut(X.trade(spark, d))
     return e, graph.pagerank(e, graph.vertices(e))
@@ -230,11 +231,24 @@ def pagerank(spark, d):
     return _ranked(spark, d)[1].select("id", F.round("pagerank", 6).alias("pagerank"))
 
 
-@query(None)
+@query(_rank_sql(X.SUPPLIES) + " SELECT id, round(pr, 9) AS pagerank FROM ranks")
 def pagerank_large(spark, d):
-    """Suppliers and parts, by rounds of joins; standard mode."""
+    """Suppliers and parts."""
     e = X.supplies(spark, d)
-    return graph.pagerank(e, graph.vertices(e), mode="standard").select("id", F.round("pagerank", 9).alias("pagerank"))
+    return graph.pagerank(e, graph.vertices(e)).select("id", F.round("pagerank", 9).alias("pagerank"))
+
+
+@query(f"""WITH RECURSIVE {X.FOLLOWS}, n AS (SELECT count(*) AS n FROM v), d AS (SELECT dst, count(*) AS c FROM e GROUP BY dst),
+r(step, id, pr) AS (SELECT 0, id, 1.0::DOUBLE / n.n FROM v, n UNION ALL
+  SELECT s.step + 1, v.id, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (coalesce(sum(r.pr / d.c), 0) + s.loose / n.n)
+  FROM (SELECT max(step) AS step, coalesce(sum(pr) FILTER (id NOT IN (SELECT dst FROM d)), 0) AS loose FROM r) s CROSS JOIN n CROSS JOIN v
+  LEFT JOIN e ON e.src = v.id LEFT JOIN d ON d.dst = e.dst LEFT JOIN r ON r.id = e.dst WHERE s.step < 30 GROUP BY s.step, s.loose, v.id, n.n),
+ended AS (SELECT min(step) AS step FROM (SELECT b.step FROM r a JOIN r b ON a.id = b.id AND b.step = a.step + 1, n GROUP BY b.step, n.n HAVING sum(abs(a.pr - b.pr)) < 1e-6 * n.n))
+SELECT id, round(pr, 7) AS pagerank FROM r JOIN ended USING (step)""")
+def pagerank_standard(spark, d):
+    """Parts by what follows them in orders, until ranks stay."""
+    e = X.follows(spark, d).select("src", "dst")
+    return graph.pagerank(e, graph.vertices(e), mode="standard").select("id", F.round("pagerank", 7).alias("pagerank"))
 
 
 @query(RANK + ", g AS (SELECT id, count(*)::BIGINT AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id) SELECT row_number() OVER (ORDER BY round(pr, 6) DESC, id)::INTEGER AS rank, id, round(pr, 6) AS pagerank, degree FROM ranks JOIN g USING (id) ORDER BY rank LIMIT 20")
@@ -284,6 +298,41 @@ def betweenness(spark, d):
     return graph.betweenness(e, graph.vertices(e)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
+@query(f"""WITH RECURSIVE {X.FOLLOWS}, n AS (SELECT count(*) AS n FROM v), sources AS (SELECT id FROM v ORDER BY md5(id || '42'), id LIMIT 12),
+w(k, s, v, c) AS (SELECT 0, id, id, 1.0::DOUBLE FROM sources UNION ALL SELECT w.k + 1, w.s, e.dst, sum(w.c) FROM w JOIN e ON e.src = w.v WHERE w.k < 14 GROUP BY w.k, w.s, e.dst),
+q AS MATERIALIZED (SELECT s, v, min(k) AS k, arg_min(c, k) AS c FROM w GROUP BY s, v),
+b(k, s, v, c, owed) AS (SELECT k, s, v, c, 0.0::DOUBLE FROM q WHERE k = (SELECT max(k) FROM q) UNION ALL
+  SELECT q.k, q.s, q.v, q.c, coalesce(sum(q.c / b.c * (1 + b.owed)), 0) FROM (SELECT max(k) AS k FROM b) m JOIN q ON q.k = m.k - 1
+  LEFT JOIN (e JOIN b ON b.v = e.dst) ON e.src = q.v AND b.s = q.s GROUP BY q.k, q.s, q.v, q.c)
+SELECT v.id, round(coalesce(sum(b.owed), 0) * (n.n / 12.0::DOUBLE) / ((n.n - 1) * (n.n - 2)), 9) AS betweenness FROM v CROSS JOIN n LEFT JOIN b ON b.v = v.id AND b.k > 0 GROUP BY v.id, n.n""")
+def betweenness_sample(spark, d):
+    """Parts, from twelve seeded sources."""
+    e = X.follows(spark, d).select("src", "dst")
+    return graph.betweenness(e, graph.vertices(e), exact=0, sample=12).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query(f"""WITH RECURSIVE {X.FOLLOWS}, f AS (SELECT src, dst FROM e WHERE a // 100 = b // 100), c(a, b) AS (SELECT src, dst FROM f UNION SELECT c.a, f.dst FROM c JOIN f ON f.src = c.b),
+m AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a) SELECT id, component FROM m""")
+def scc_large(spark, d):
+    """Parts that follow each other within a hundred of keys: chains, rings and large components."""
+    near = X.follows(spark, d).where(F.floor(F.col("a") / 100) == F.floor(F.col("b") / 100))
+    return graph.components(near.select("src", "dst"))
+
+
+@query(f"""WITH RECURSIVE {X.TRADE}, p(s, node, path, len) AS (SELECT id, id, [id], 0 FROM v UNION ALL
+  SELECT s, e.dst, list_append(path, e.dst), len + 1 FROM p JOIN e ON e.src = p.node WHERE len < 10 AND NOT list_contains(path, e.dst)),
+m AS MATERIALIZED (SELECT s, node, len, path FROM (SELECT s, node, len, path, min(len) OVER (PARTITION BY s, node) AS least FROM p) WHERE len = least),
+k AS (SELECT s, node, path, row_number() OVER (PARTITION BY s, node ORDER BY path)::INTEGER AS path_no FROM m
+  JOIN nation a ON a.n_name = s JOIN nation b ON b.n_name = node AND b.n_regionkey = a.n_regionkey)
+SELECT s AS source, node AS target, path_no, unnest(generate_series(1, len(path)))::INTEGER AS position, unnest(path) AS id FROM k WHERE path_no <= 5""")
+def trace_pairs(spark, d):
+    """Five shortest paths from every nation to every one of its region, all pairs in one search."""
+    e = graph.cut(X.trade(spark, d))
+    a, b = (X.table(spark, d, "nation").select("n_regionkey", F.col("n_name").alias(c)) for c in "ab")
+    pairs = a.join(b, "n_regionkey").select(F.struct("a", "b").alias("pair"), "a", "b")
+    return graph.steps(graph.traces(e, pairs)).select(F.col("pair.a").alias("source"), F.col("pair.b").alias("target"), "path_no", "position", "id")
+
+
 @query(f"""WITH RECURSIVE {X.TRADE}, c(a, b) AS (SELECT src, dst FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.b),
 m AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a) SELECT id, component FROM m""")
 def scc_cycles(spark, d):

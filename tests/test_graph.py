@@ -1,10 +1,12 @@
+import hashlib
 import itertools
 import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from codeweave.operators import graph
+from codeweave.operators import centrality, cycles, graph, tables
 
 
 def edges(spark, pairs):
@@ -76,7 +78,7 @@ def model_components(pairs):
     return sorted(out)
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 1000))
 def test_components_by_model(spark, seed):
     r = random.Random(seed)
@@ -84,14 +86,127 @@ def test_components_by_model(spark, seed):
     assert rows(graph.components(edges(spark, pairs))) == model_components(pairs)
 
 
+def model_rank(pairs, mode, rounds, d=0.85):
+    ids = sorted({x for p in pairs for x in p})
+    n, callers = len(ids), {x: sum(b == x for _, b in pairs) for x in ids}
+    rank = dict.fromkeys(ids, 1 / n)
+    for _ in range(rounds):
+        spread = sum(rank[x] for x in ids if not callers[x]) / n if mode == "standard" else 0
+        new = {x: (1 - d) / n + d * (sum(rank[b] / callers[b] for a, b in pairs if a == x) + spread) for x in ids}
+        done = mode == "standard" and sum(abs(new[x] - rank[x]) for x in ids) < 1e-6 * n
+        rank = new
+        if done:
+            break
+    return rank
+
+
+def random_edges(seed, n, m):
+    r = random.Random(seed)
+    return sorted({(f"v{r.randrange(n)}", f"v{r.randrange(n)}") for _ in range(m)})
+
+
 def test_rank_by_rounds_of_joins(spark, monkeypatch):
-    r = random.Random(1)
-    pairs = sorted({(str(r.randrange(9)), str(r.randrange(9))) for _ in range(25)})
+    pairs = random_edges(1, 9, 25)
     e = edges(spark, pairs)
     v = graph.vertices(e)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     for mode in ("fixed", "standard"):
-        small = dict(rows(graph.pagerank(e, v, mode=mode, rounds=6)))
-        monkeypatch.setattr(graph, "SMALL_EDGES", 0)
-        large = dict(rows(graph.pagerank(e, v, mode=mode, rounds=6)))
-        monkeypatch.undo()
-        assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-9 for k in small)
+        want = model_rank(pairs, mode, 6)
+        for hot, per, dense in ((10**6, 10**6, 256), (10**6, 10**6, 0), (3, 10, 0)):  # by powers, by rounds, hot vertices and several parts
+            monkeypatch.setattr(centrality, "DENSE", dense)
+            monkeypatch.setattr(centrality, "HOT", hot)
+            monkeypatch.setattr(centrality, "MOST_HOT", 10**6)
+            monkeypatch.setattr(centrality, "PER_TASK", per)
+            got = dict(rows(graph.pagerank(e, v, mode=mode, rounds=6)))
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_a_round_of_ranks_has_one_exchange(spark):
+    e = edges(spark, random_edges(2, 30, 90))
+    v = graph.vertices(e)
+    with tables.settings(spark, spark__sql__shuffle__partitions=3, spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__adaptive__enabled=False):
+        weight = e.groupBy("dst").count().withColumnRenamed("count", "callers")
+        nodes = tables.bucketed(v.join(weight.withColumnRenamed("dst", "id"), "id", "left").fillna(0), "id", 3)
+        cold = tables.bucketed(e.join(weight, "dst"), "dst", 3)
+        rank = nodes.withColumn("pagerank", F.lit(1 / 30))
+        for _ in range(4):
+            rank = centrality._round(nodes, cold, None, 10**6, rank, 30, 0.85, 0.0)
+        plan = rank._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 4
+
+
+def model_betweenness(pairs, sources=None):
+    ids = sorted({x for p in pairs for x in p})
+    near = {x: sorted({b for a, b in pairs if a == x and b != x}) for x in ids}
+    total = dict.fromkeys(ids, 0.0)
+    for s in sources or ids:
+        level, paths, order = {s: 0}, {s: 1.0}, [s]
+        for x in order:
+            for y in near[x]:
+                if y not in level:
+                    level[y], paths[y] = level[x] + 1, 0.0
+                    order.append(y)
+                if level[y] == level[x] + 1:
+                    paths[y] += paths[x]
+        owed = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            owed[y] += sum(paths[y] / paths[z] * (1 + owed[z]) for z in near[y] if level.get(z) == level[y] + 1)
+            if y != s:
+                total[y] += owed[y]
+    n = len(ids)
+    return {x: t * n / len(sources or ids) / max(1, (n - 1) * (n - 2)) for x, t in total.items()}
+
+
+def test_betweenness_by_model(spark, monkeypatch):
+    pairs = random_edges(3, 25, 55)
+    e = edges(spark, pairs)
+    v = graph.vertices(e)
+    want = model_betweenness(pairs)
+    got = dict(rows(graph.betweenness(e, v)))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    chosen = sorted(want, key=lambda x: hashlib.md5(f"{x}42".encode()).hexdigest())[:7]
+    want = model_betweenness(pairs, chosen)
+    monkeypatch.setattr(centrality, "PAIRS", 90)  # several batches
+    got = dict(rows(graph.betweenness(e, v, exact=5, sample=7)))
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    none = edges(spark, [])
+    assert rows(graph.betweenness(none, graph.vertices(none))) == []
+
+
+def model_traces(pairs, a, b, most):
+    ids = {x for p in pairs for x in p}
+    if a not in ids or b not in ids:
+        return []
+    paths = [[a]]
+    for _ in range(len(ids)):
+        done = sorted(p for p in paths if p[-1] == b)
+        if done:
+            return done[:most]
+        paths = [[*p, y] for p in paths for x, y in pairs if x == p[-1] and y not in p]
+    return []
+
+
+def test_traces_of_many_pairs(spark):
+    pairs = [*random_edges(4, 14, 30), *[(f"c{k}", f"c{k + 1}") for k in range(20)]]
+    ids = sorted({x for p in pairs for x in p if x[0] == "v"})[:6]
+    ends = [(a, b) for a in ids for b in ids] + [("c0", "c20"), ("c20", "c0"), ("v1", "none"), ("none", "none"), ("c3", "c3")]
+    asked = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(ends)], "pair int, a string, b string")
+    got = {}
+    for r in graph.traces(edges(spark, pairs), asked, 3).collect():
+        got.setdefault(r.pair, []).append(r.path)
+    assert {k: sorted(v) for k, v in got.items()} == {k: w for k, (a, b) in enumerate(ends) if (w := model_traces(pairs, a, b, 3))}
+
+
+def test_chains_and_rings_take_few_rounds(spark, monkeypatch):
+    """Jobs grow with the logarithm of a chain's or ring's length."""
+    calls = []
+    for name in ("cut", "counted"):
+        monkeypatch.setattr(cycles, name, lambda *a, f=getattr(cycles, name), **k: calls.append(1) or f(*a, **k))
+    n = 2000
+    name = lambda p, k: f"{p}{k:05d}"
+    pairs = [(name("c", k), name("c", k + 1)) for k in range(n)] + [(name("r", k), name("r", (k + 1) % n)) for k in range(n)]
+    pairs += [(name("r", 5), "tail1"), ("tail1", "tail2"), ("in1", name("r", 7)), ("x", "y"), ("y", "x"), ("y", name("c", 0)), ("self", "self")]
+    got = rows(graph.components(edges(spark, pairs)))
+    assert got == sorted([(name("r", k), name("r", 0)) for k in range(n)] + [("x", "x"), ("y", "x")])
+    assert len(calls) < 100

@@ -23,7 +23,7 @@ def test_index_and_changes(spark, tmp_path):
     assert edges["pkg/a.py::main", "pkg/b.py::helper", "calls"] and edges["src/J.java::J.go", "pkg/b.py::helper", "calls"]
     assert edges["pkg/a.py::main", "missing", "calls"] is False
     assert edges["src/J.java::J", "pkg/b.py::Tool", "inherits"]
-    assert views.trace("main", "helper") == [["pkg/a.py::main", "pkg/b.py::helper"]]
+    assert [(r.path_no, r.position, r.id, r.name) for r in views.trace("main", "helper").collect()] == [(1, 1, "pkg/a.py::main", "main"), (1, 2, "pkg/b.py::helper", "helper")]
     assert {r.id for r in views.related("helper").where("relation = 'caller'").collect()} == {"pkg/a.py::main", "pkg/b.py::Tool.use", "src/J.java::J.go"}
     assert views.hotspots(1).first().id == "src/J.java::J"
     # A new symbol catches an old reference; a deleted file's symbols go and edges to them stay unresolved.
