@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,5 +38,29 @@ def resolve_named(found: DataFrame, symbols: DataFrame, *by: str) -> DataFrame:
     return edges.groupBy("source_id", "target_id", "kind", *by).agg(F.max("resolved").alias("resolved"))
 
 
+def by_name(refs: DataFrame, symbols: DataFrame, strict: bool = True) -> DataFrame:
+    """Edges with the name (leaf) they were resolved by, for maintained()."""
+    return resolve_named(names(refs, strict), symbols, "leaf")
+
+
+def maintained(edges: DataFrame, refs: DataFrame, symbols: DataFrame, touched: DataFrame, strict: bool = True) -> DataFrame:
+    """Edges by name of the state before, references and symbols of the state after → edges by name after.
+
+    touched (leaf): the names that came, went or are referred to otherwise. Only their references and symbols meet
+    again; the edges of all other names stay.
+    """
+    touched = touched.select("leaf").distinct()
+    kept = edges.join(touched, "leaf", "left_anti")
+    found = names(refs, strict).join(touched, "leaf", "left_semi")
+    mine = symbols.join(touched.withColumnRenamed("leaf", "name"), "name", "left_semi")
+    return kept.unionByName(resolve_named(found, mine, "leaf").select(*kept.columns))
+
+
+def touched(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], strict: bool = True) -> DataFrame:
+    """(leaf) of the names that (references, symbols) of changed files have, before and after."""
+    leaves = [names(refs, strict).select("leaf") for refs, _ in (before, after)] + [s.select(F.col("name").alias("leaf")) for _, s in (before, after)]
+    return reduce(DataFrame.unionByName, leaves).distinct()
+
+
 def resolution_ratio(edges: DataFrame) -> DataFrame:
     return edges.agg(F.count("*").alias("edges"), F.coalesce(F.sum(F.col("resolved").cast("long")), F.lit(0)).alias("resolved"), F.round(F.avg(F.col("resolved").cast("int")), 6).alias("ratio"))

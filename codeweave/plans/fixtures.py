@@ -39,7 +39,11 @@ PAGE_PATH = "'p' || (page_id % 10) || '/d' || (page_id % 3) || '/page' || page_i
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(page_path(F.col("page_id")).alias("path"))
+    return page_files_of(table(spark, sf_dir, "pages"))
+
+
+def page_files_of(pages: DataFrame) -> DataFrame:
+    return pages.select(page_path(F.col("page_id")).alias("path"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:

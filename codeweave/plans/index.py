@@ -54,7 +54,8 @@ def run(spark: SparkSession, root: str, folder: str, force: bool = False, langua
 
 
 def counts(index: store.Index) -> dict:
-    return {n: index.table(n).count() for n in ("files", "symbols", "edges", "metrics", "summaries")} | {"commit": index.state()["commit"]}
+    state = index.state()
+    return {n: index.table(n, state).count() for n in ("files", "symbols", "edges", "metrics", "summaries")} | {"commit": state["commit"]}
 
 
 def summarize(spark: SparkSession, root: str, folder: str, model: Callable | None = None, name: str = "plain", skip_fresh: bool = True) -> dict:
@@ -78,7 +79,7 @@ class Views:
 
     def __init__(self, index: store.Index):
         self.index = index
-        self.files, self.symbols, self.edges, self.metrics, self.summaries = (index.table(n) for n in ("files", "symbols", "edges", "metrics", "summaries"))
+        self.files, self.symbols, self.edges, self.metrics, self.summaries = map(index.tables().get, ("files", "symbols", "edges", "metrics", "summaries"))
 
     def overview(self) -> dict:
         c = counts(self.index)

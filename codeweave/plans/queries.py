@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweave.functions import imports, text
-from codeweave.operators import graph, resolve, rollup, store, summaries
+from codeweave.operators import graph, renames, resolve, rollup, search as lookup, store, summaries
 from codeweave.plans import fixtures as X
 from codeweave.sources import files as sources
 from codeweave.streaming import incremental
@@ -94,6 +94,17 @@ def search(symbols: DataFrame, q: str, limit: int = 20) -> DataFrame:
     return symbols.where(F.col("name").ilike(like) | F.col("qualified_name").ilike(like)).orderBy("name", "id").limit(limit)
 
 
+TERMS = "terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{2,5}')) AS term FROM benchmark)"
+
+
+@query(f"WITH {X.SYMBOLS}, {TERMS} SELECT term, id FROM terms JOIN symbols ON name ILIKE '%' || term || '%' OR qualified_name ILIKE '%' || term || '%'")
+def search_many(spark, d):
+    """Every run of letters in the benchmark, five at a time, looked up in one search."""
+    s = graph.cut(X.symbols(spark, d))
+    terms = X.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,5})"), 1)).alias("term"))
+    return lookup.search_many(s, graph.cut(lookup.postings(s)), terms)
+
+
 # --- extraction and resolution
 
 
@@ -148,6 +159,17 @@ def resolve_edges(spark, d):
     return X.edges(spark, d)
 
 
+@query("WITH " + X.EDGES.replace("FROM pages", "FROM (SELECT * FROM pages WHERE page_id % 7 <> 0)") + " SELECT * FROM edges")
+def resolve_delta(spark, d):
+    """The edges after every seventh page is deleted, from those before: only names of the deleted pages resolve again."""
+    pages = X.table(spark, d, "pages")
+    gone, left = pages.where("page_id % 7 = 0"), pages.where("page_id % 7 <> 0")
+    before = graph.cut(resolve.by_name(X.refs_of(pages), X.symbols_of(pages)))
+    before = before.join(X.page_files_of(gone).withColumnRenamed("path", "file"), F.substring_index("source_id", "::", 1) == F.col("file"), "left_anti")
+    touched = resolve.touched((X.refs_of(gone), X.symbols_of(gone)), (X.refs_of(gone.limit(0)), X.symbols_of(gone.limit(0))))
+    return resolve.maintained(before, X.refs_of(left), X.symbols_of(left), graph.cut(touched)).select("source_id", "target_id", "kind", "resolved")
+
+
 @query(f"WITH {X.EDGES} SELECT count(*)::BIGINT AS edges, sum(resolved::INTEGER)::BIGINT AS resolved, round(avg(resolved::INTEGER), 6) AS ratio FROM edges")
 def resolution_ratio(spark, d):
     return resolve.resolution_ratio(X.edges(spark, d))
@@ -458,6 +480,29 @@ def changeset(spark, d):
     return incremental.changes(old, new, keep_same=True)
 
 
+MOVES = """s AS (SELECT doc_id % 2 AS state, doc_id::VARCHAR AS path, sha256(coalesce(text, '')) AS hash, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT state, path, hash, row_number() OVER (PARTITION BY state, hash ORDER BY path) AS nth, w FROM s),
+same AS (SELECT a.path AS old_path, b.path AS new_path FROM x a JOIN x b ON a.hash = b.hash AND a.nth = b.nth AND a.state = 0 AND b.state = 1),
+rest AS (SELECT * FROM x WHERE path NOT IN (SELECT old_path FROM same UNION ALL SELECT new_path FROM same) AND len(w) > 0),
+g AS MATERIALIZED (SELECT DISTINCT state, path, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT state, path, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM rest)),
+n AS (SELECT path, count(*) AS n FROM g GROUP BY path),
+common AS (SELECT a.path AS old_path, b.path AS new_path, count(*) AS c FROM g a JOIN g b USING (shingle) WHERE a.state = 0 AND b.state = 1 GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT old_path, new_path, c / (a.n + b.n - c) AS similarity FROM common JOIN n a ON a.path = old_path JOIN n b ON b.path = new_path WHERE c / (a.n + b.n - c) >= 0.5),
+k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY similarity DESC, old_path, new_path) AS k FROM pairs),
+r(k, olds, news, taken) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], FALSE UNION ALL
+  SELECT k.k, CASE WHEN list_contains(olds, old_path) OR list_contains(news, new_path) THEN olds ELSE list_append(olds, old_path) END,
+    CASE WHEN list_contains(olds, old_path) OR list_contains(news, new_path) THEN news ELSE list_append(news, new_path) END,
+    NOT (list_contains(olds, old_path) OR list_contains(news, new_path)) FROM r JOIN k ON k.k = r.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {MOVES} SELECT old_path, new_path, 1.0::DOUBLE AS similarity FROM same UNION ALL SELECT old_path, new_path, round(similarity, 9) FROM k JOIN r USING (k) WHERE taken")
+def moved_files(spark, d):
+    """Documents of even ids as a state, those of odd ids as the next: equal and similar ones were moved."""
+    docs = X.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), "text")
+    moved = renames.renames(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
+    return moved.select("old_path", "new_path", F.round("similarity", 9).alias("similarity"))
+
+
 GONE = "gone AS (SELECT " + X.PAGE_PATH + " AS path FROM pages WHERE page_id % 7 = 0)"
 
 

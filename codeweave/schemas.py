@@ -7,12 +7,11 @@ SYMBOLS = "id string, file_path string, name string, qualified_name string, kind
 EDGES = "source_id string, target_id string, kind string, resolved boolean"
 METRICS = "symbol_id string, in_degree int, out_degree int, betweenness double, pagerank double"
 SUMMARIES = "target_id string, target_kind string, summary_text string, model string, generated_at timestamp, is_stale boolean"
-META = "key string, value string"
 RAW_REFS = "source_id string, ref_text string, kind string, file_path string, language string, ordinal int"
 CHANGES = "path string, change_type string"
 
-TABLES = {"files": FILES, "symbols": SYMBOLS, "edges": EDGES, "metrics": METRICS, "summaries": SUMMARIES, "meta": META, "raw_refs": RAW_REFS}
-KEYS = {"files": ["path"], "symbols": ["id"], "edges": ["source_id", "target_id", "kind"], "metrics": ["symbol_id"], "summaries": ["target_id"], "meta": ["key"]}
+TABLES = {"files": FILES, "symbols": SYMBOLS, "edges": EDGES, "metrics": METRICS, "summaries": SUMMARIES, "raw_refs": RAW_REFS}
+KEYS = {"files": ["path"], "symbols": ["id"], "edges": ["source_id", "target_id", "kind"], "metrics": ["symbol_id"], "summaries": ["target_id"]}
 
 # Extensions by language, default excluded directories, thresholds and list lengths of the reports.
 LANGUAGES = {".py": "python", ".java": "java", ".ts": "typescript", ".tsx": "tsx"}
