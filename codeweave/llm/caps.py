@@ -19,8 +19,8 @@ Equal vectors of a label (equal bytes after normalisation of zeros) are searched
 occur, so many copies of a vector cost one.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have a null label link with
-nothing; vectors of different lengths link with nothing; repeated ids are vectors of their own but share a row's id;
-empty tables give no rows; other columns are ignored.
+nothing; vectors of different lengths link with nothing; rows of equal or null ids are vectors of their own, each with
+a row; null ids name a component only if it has no other; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -222,23 +222,30 @@ def linked(heads: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vectors (vec_id, label, vector array<double>) → vec_id, n_links, component_id: a row per vector."""
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("vector").cast("array<double>").alias("vector"))
-    usable = shared.stored(filtered(vectors), "caps")
+    """vectors (vec_id, label, vector array<double>) → vec_id, n_links, component_id: a row per vector.
+
+    Inside, a row goes by a number of its own, stored once; vec_ids name components in the end.
+    """
+    row = F.monotonically_increasing_id().alias("row")
+    vectors = vectors.select(row, F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("vector").cast("array<double>").alias("vector"))
+    vectors = shared.stored(vectors, "caps-rows")
+    usable = shared.stored(filtered(vectors.select(F.col("row").alias("vec_id"), "label", "vector")), "caps")
     key = F.sha2("unit", 256)
     copies = shared.stored(usable.groupBy("label", key.alias("key")).agg(F.min("vec_id").alias("head"), F.count("*").alias("times")), "copies")
-    members = usable.select("vec_id", "label", key.alias("key")).join(copies, ["label", "key"]).select("vec_id", "head", "times")
-    heads = usable.join(copies.select(F.col("head").alias("vec_id"), "times"), "vec_id").dropDuplicates(["vec_id"])
-    heads = shared.stored(heads, "cap-heads")
+    members = usable.select(F.col("vec_id").alias("row"), "label", key.alias("key")).join(copies, ["label", "key"]).select("row", "head", "times")
+    heads = shared.stored(usable.join(copies.select(F.col("head").alias("vec_id"), "times"), "vec_id"), "cap-heads")
     found = shared.stored(linked(heads, threshold), "cap-links")
     counts = found.where("kind = 0").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n"))
     label = components(found.where("kind = 1").select("a", "b")).select(F.col("id").alias("head"), "component")
     facts = members.join(counts, "head", "left").join(label, "head", "left").select(
-        "vec_id",
+        "row",
         (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"),
         F.coalesce("component", "head").alias("c"),
     )
-    return vectors.select("vec_id").join(facts.dropDuplicates(["vec_id"]), "vec_id", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    rows = shared.stored(vectors.select("row", "vec_id").join(facts, "row", "left"), "cap-facts")
+    least = rows.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("vec_id").alias("least"))
+    named = rows.join(least, "c", "left")
+    return named.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "vec_id").alias("component_id"))
 
 
 def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -566,3 +566,24 @@ def test_caps(spark):
     assert got[402] == (0, 402) and got[404] == (0, 404) and got[406] == (0, 406)
     assert got[400][1] == got[0][1]
     assert caps.similar(d.limit(0)).count() == 0
+
+
+def test_caps_of_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.001]), (None, [0.0, -1.0]), (7, [0.001, -1.0]), (1, [1.0, 0.0])]
+    d = spark.createDataFrame([(i, 0, [*v, *[0.0] * 14]) for i, v in rows], "vec_id long, label int, vector array<double>").coalesce(1)
+    got = sorted(map(tuple, caps.similar(d).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 1, 1), (2, 2, 1), (3, 1, 1), (None, 1, None), (None, 1, None), (None, 1, 7), (7, 1, 7), (1, 2, 1)], key=str)
+
+
+def test_caps_of_64_components_in_large_buckets(spark):
+    """All links within one label, where a bucket has more members than a block: recall against brute force."""
+    r = np.random.default_rng(8)
+    base = r.standard_normal((6, 64))
+    x = np.concatenate([b + (0.1 if k else 0.03) * r.standard_normal((700 if not k else 60, 64)) for k, b in enumerate(base)])
+    ids = r.permutation(len(x)) // 2  # every id twice
+    d = spark.createDataFrame([(int(i), 1, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, label int, vector array<double>").coalesce(1)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T >= 0.98).sum(axis=1) - 1).tolist()
+    got = Counter((v.vec_id, v.n_links) for v in caps.similar(d).collect())
+    assert sum(n for _, n in got.elements()) >= 0.9 * sum(want) and sum(n for _, n in got.elements()) <= sum(want)
+    assert sum(got.values()) == len(x) and max(want) > caps.BLOCK
