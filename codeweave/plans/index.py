@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweave import schemas
-from codeweave.operators import extract, graph, resolve, rollup, store, summaries
+from codeweave.operators import details, extract, graph, resolve, rollup, store, summaries
 from codeweave.sources import files as sources
 from codeweave.streaming import incremental
 
@@ -96,12 +96,9 @@ class Views:
         return ids.join(names, "id", "left").withColumn("name", F.coalesce("qualified_name", F.substring_index("id", "::", -1)))
 
     def symbol(self, name: str) -> DataFrame:
-        """All symbols of a name (or id) with their metrics and summaries, callers and callees."""
-        s = self.symbols.where((F.col("name") == name) | (F.col("id") == name)).join(self.metrics, F.col("id") == F.col("symbol_id"), "left")
-        callers = self.edges.where("kind = 'calls'").groupBy(F.col("target_id").alias("id")).agg(F.sort_array(F.collect_set("source_id")).alias("callers"))
-        callees = self.edges.where("kind = 'calls' and resolved").groupBy(F.col("source_id").alias("id")).agg(F.sort_array(F.collect_set("target_id")).alias("callees"))
-        notes = self.summaries.where("not is_stale").select(F.col("target_id").alias("id"), "summary_text")
-        return s.drop("symbol_id").join(callers, "id", "left").join(callees, "id", "left").join(notes, "id", "left").fillna(0, ["in_degree", "out_degree", "betweenness", "pagerank"])
+        """All symbols of a name (or id) with their metrics and summaries, callers and callees with names and files."""
+        chosen = self.symbols.where((F.col("name") == name) | (F.col("id") == name))
+        return details.symbol_details(chosen, self.metrics, self.summaries, self.edges, self.symbols).orderBy("id")
 
     def search(self, q: str, limit: int = 20) -> DataFrame:
         from codeweave.plans.queries import search
@@ -158,4 +155,5 @@ class Views:
         return nodes, self.edges.where("resolved").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "kind")
 
     def file(self, path: str) -> DataFrame:
-        return self.symbols.where(F.col("file_path") == path).orderBy("start_line", "id")
+        """A file with its summary and its symbols; no row if there is no such file."""
+        return details.file_details(self.files.where(F.col("path") == path), self.symbols.where(F.col("file_path") == path), self.summaries)

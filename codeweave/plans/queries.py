@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweave.functions import imports, text
-from codeweave.operators import graph, renames, resolve, rollup, search as lookup, store, summaries
+from codeweave.operators import details, graph, renames, resolve, rollup, search as lookup, store, summaries
 from codeweave.plans import fixtures as X
 from codeweave.sources import files as sources
 from codeweave.streaming import incremental
@@ -118,40 +120,47 @@ def extract_refs(spark, d):
     return X.refs(spark, d).groupBy("source_id", "ref_text", "kind").agg(F.count("*").alias("n"))
 
 
-IMPORTS = {
-    "python": ["from a.b import c, d as e", "from ..x import (y,\n  z)", "from . import q", "from m import *", "import a.b as c, d", "import", "x = 1"],
-    "java": ["import java.util.List;", "import static a.B.c;", "import java.util.*;", "import x;"],
-    "typescript": ["name|./mod", " x |y", "|z", "solo"],
+#: Import statements made of the first four words of every document, of four forms by its id.
+FORMS = {
+    "python": ["from {0}.{1} import {2}, {3} as e", "from ..{0} import ({1},\n  {2})", "from {0} import *", "import {0}.{1} as c, {2}"],
+    "java": ["import {0}.{1}.{2};", "import static {0}.{1}.{2};", "import {0}.{1}.*;", "import {3};"],
+    "typescript": ["{0}|./{1}", " {0} |{1}", "|{0}", "{3}"],
 }
-EXPECTED = {
-    "python": ["c,a.b.c,d,a.b.d", "y,x.y,z,x.z", "q", "m", "a.b,d", "", ""],
-    "java": ["List,java.util.List", "c,a.B.c", "", "x,x"],
-    "typescript": ["name", "x", "", "solo"],
+#: The names that the forms bring in.
+BROUGHT = {
+    "python": ["{2},{0}.{1}.{2},{3},{0}.{1}.{3}", "{1},{0}.{1},{2},{0}.{2}", "{0}", "{0}.{1},{2}"],
+    "java": ["{2},{0}.{1}.{2}", "{2},{0}.{1}.{2}", "", "{3},{3}"],
+    "typescript": ["{0}", "{0}", "", "{3}"],
 }
 
 
-def _imports(spark: SparkSession, language: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(IMPORTS[language])), "k long, statement string")
-    return rows.select("k", F.array_join(imports.candidates(F.col("statement"), F.lit(language)), ",").alias("names"))
+def _imports(spark: SparkSession, d: str, language: str) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([a-z]{2,})"), 1)
+    word = [F.coalesce(F.get(words, F.lit(k)), F.lit("x")) for k in range(4)]
+    made = [F.concat(*[word[int(x)] if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(\d)\}", form))]) for form in FORMS[language]]
+    rows = X.table(spark, d, "documents").select("doc_id", F.get(F.array(*made), (F.col("doc_id") % 4).cast("int")).alias("statement"))
+    return rows.select("doc_id", F.array_join(imports.candidates(F.col("statement"), F.lit(language)), ",").alias("names"))
 
 
-def _values(language: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{v}')" for k, v in enumerate(EXPECTED[language])) + ") t(k, names)"
+def _brought(language: str) -> str:
+    made = ["concat(" + ", ".join(f"w[{int(x) + 1}]" if k % 2 else f"'{x}'" for k, x in enumerate(re.split(r"\{(\d)\}", form))) + ")" for form in BROUGHT[language]]
+    words = ", ".join(f"coalesce(regexp_extract_all(text, '[a-z]{{2,}}')[{k}], 'x')" for k in range(1, 5))
+    return f"SELECT doc_id, [{', '.join(made)}][doc_id % 4 + 1] AS names FROM (SELECT doc_id, [{words}] AS w FROM documents)"
 
 
-@query(_values("python"))
+@query(_brought("python"))
 def parse_python_import(spark, d):
-    return _imports(spark, "python")
+    return _imports(spark, d, "python")
 
 
-@query(_values("java"))
+@query(_brought("java"))
 def parse_java_import(spark, d):
-    return _imports(spark, "java")
+    return _imports(spark, d, "java")
 
 
-@query(_values("typescript"))
+@query(_brought("typescript"))
 def parse_typescript_import(spark, d):
-    return _imports(spark, "typescript")
+    return _imports(spark, d, "typescript")
 
 
 @query(f"WITH {X.EDGES} SELECT * FROM edges")
@@ -632,3 +641,23 @@ def symbol_info(spark, d):
 def stream_incremental(spark, d):
     """Events through a stream of all there is, added up batch by batch."""
     return incremental.totals(spark, f"{d.rstrip('/')}/events.parquet")
+
+
+@query(f"""WITH {X.EDGES}, w AS (SELECT target_id AS id, 'caller' AS relation, source_id AS other FROM edges WHERE kind = 'calls'
+  UNION SELECT source_id, 'callee', target_id FROM edges WHERE kind = 'calls' AND resolved)
+SELECT w.id, relation, other, coalesce(s.name, string_split(other, '::')[-1]) AS name, s.file_path FROM w LEFT JOIN symbols s ON s.id = w.other WHERE w.id IN (SELECT id FROM symbols)""")
+def symbol_neighbours(spark, d):
+    """Callers and callees of every symbol with names and files."""
+    return details.neighbours(X.edges(spark, d), X.symbols(spark, d))
+
+
+@query(f"""WITH {X.SYMBOLS}, {X.SUMMARIES}, p AS (SELECT {X.PAGE_PATH} AS path, url, html FROM pages)
+SELECT path, split_part(url, '/', 4) AS language, (length(coalesce(html, '')) - length(replace(coalesce(html, ''), chr(10), '')) + 1)::INTEGER AS line_count,
+  (SELECT any_value(summary_text) FROM summaries WHERE target_id = path AND NOT is_stale) AS summary,
+  (SELECT coalesce(string_agg(name, ' ' ORDER BY start_line, id), '') FROM symbols WHERE file_path = path) AS names FROM p""")
+def file_views(spark, d):
+    """Every page as a file with its summary and its symbols' names in order."""
+    pages = X.table(spark, d, "pages")
+    files = pages.select(X.page_path(F.col("page_id")).alias("path"), F.split_part("url", F.lit("/"), F.lit(4)).alias("language"), text.line_count(F.coalesce("html", F.lit(""))).alias("line_count"))
+    rows = details.file_details(files, X.symbols(spark, d), X.summaries(spark, d))
+    return rows.select("path", "language", "line_count", "summary", F.array_join(F.transform("symbols", lambda s: s["name"]), " ").alias("names"))

@@ -33,7 +33,7 @@ def answer(views: Views, root: str, url: str) -> tuple[int, object]:
             return (200, found[0]) if found else (404, {"error": "no such symbol"})
         if path.startswith("/api/file/"):
             found = rows(views.file(path.removeprefix("/api/file/")))
-            return (200, found) if found else (404, {"error": "no such file"})
+            return (200, found[0]) if found else (404, {"error": "no such file"})
         if path.startswith("/api/source/"):
             return 200, source_text(root, path.removeprefix("/api/source/"))
     except PermissionError as e:

@@ -40,6 +40,11 @@ def test_index_and_changes(spark, tmp_path):
     views = plan.Views(store.Index(spark, folder))
     assert answer(views, str(root), "/api/overview")[1]["files"] == 3
     assert answer(views, str(root), "/api/symbol/pkg/a.py::main")[0] == 200
+    shown = answer(views, str(root), "/api/symbol/pkg/a.py::main")[1]
+    assert {"id": "pkg/c.py::missing", "name": "missing", "file_path": "pkg/c.py"} in shown["callees"] and shown["callers"] == []
+    shown = answer(views, str(root), "/api/file/pkg/a.py")[1]
+    assert [x["name"] for x in shown["symbols"]] == ["main"] and shown["language"] == "python" and shown["summary"]
+    assert answer(views, str(root), "/api/file/none")[0] == 404
     assert answer(views, str(root), "/api/symbol/none")[0] == 404
     assert answer(views, str(root), "/api/search?q=miss")[1][0]["name"] == "missing"
     assert answer(views, str(root), "/api/search")[0] == 422
