@@ -15,7 +15,7 @@ from codeweave.operators.cycles import components
 from codeweave.operators.paths import reachable, shortest_paths, steps, traces
 from codeweave.operators.tables import cut, shared_folder
 
-__all__ = ["betweenness", "components", "cut", "degrees", "god_objects", "hub_files", "metrics", "neighbourhood", "orphans", "pagerank", "reachable", "shared_folder", "shortest_paths", "simple_edges", "steps", "traces", "vertices"]
+__all__ = ["betweenness", "components", "cut", "degrees", "god_objects", "highlighted", "hub_files", "kinds", "metrics", "neighbourhood", "orphans", "pagerank", "reachable", "shared_folder", "shortest_paths", "simple_edges", "steps", "traces", "vertices"]
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,19 @@ def simple_edges(edges: DataFrame) -> DataFrame:
     return edges.where("resolved").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
 
 
+def kinds(edges: DataFrame) -> DataFrame:
+    """Resolved edges → (src, dst, kind): an edge once, of several kinds the last one in order of their names."""
+    return edges.where("resolved").groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.max("kind").alias("kind"))
+
+
+def highlighted(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """edges with `highlighted`: whether one of the chosen vertices (id) is an end of it."""
+    marks = chosen.select("id").distinct()
+    src, dst = (marks.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}")) for c in ("src", "dst"))
+    rows = edges.join(src, "src", "left").join(dst, "dst", "left")
+    return rows.select(*edges.columns, F.coalesce("_src", "_dst", F.lit(False)).alias("highlighted"))
+
+
 def vertices(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """The ends of edges and the given ids (id)."""
     v = edges.select(F.explode(F.array("src", "dst")).alias("id"))

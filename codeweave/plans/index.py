@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweave import schemas
@@ -71,7 +71,9 @@ def summarize(spark: SparkSession, root: str, folder: str, model: Callable | Non
     dirs = lines.select(F.col("directory").alias("target_id"), F.lit("directory").alias("target_kind"), F.col("text").alias("summary_text"), F.lit(name).alias("model"), F.current_timestamp().alias("generated_at"), F.lit(False).alias("is_stale"))
     dirs = graph.cut(dirs if not skip_fresh else dirs.join(both.where("not is_stale").select("target_id"), "target_id", "left_anti"))
     index.commit({"summaries": store.upsert(both, dirs, ["target_id"])})
-    return {"asked": asked.count(), "files": new.where("target_kind = 'file'").count(), "symbols": new.where("target_kind = 'symbol'").count(), "directories": dirs.count()}
+    asked_files, made = asked.count(), new.where("target_kind = 'file'").count()
+    skipped = files.count() - todo.count()
+    return {"asked": asked_files, "skipped": skipped, "errors": asked_files - made, "files": made, "symbols": new.where("target_kind = 'symbol'").count(), "directories": dirs.count()}
 
 
 class Views:
@@ -106,9 +108,10 @@ class Views:
         return search(self.symbols, q, limit)
 
     def hotspots(self, n: int = 20) -> DataFrame:
-        """The n best ranked; those without a symbol drop out afterwards."""
-        top = self.metrics.orderBy(F.desc("pagerank"), "symbol_id").limit(n)
-        return top.join(self.symbols, top.symbol_id == self.symbols.id).select("id", "qualified_name", "file_path", "pagerank", "in_degree", "out_degree").orderBy(F.desc("pagerank"), "id")
+        """The n best ranked with their rank; those without a symbol drop out afterwards, which leaves gaps."""
+        by = [F.desc("pagerank"), F.asc("symbol_id")]
+        top = self.metrics.orderBy(*by).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*by)))  # n rows
+        return top.join(self.symbols, top.symbol_id == self.symbols.id).select("rank", "id", "qualified_name", "file_path", "pagerank", "in_degree", "out_degree").orderBy("rank")
 
     def trace(self, a: str, b: str, most: int = 5) -> DataFrame:
         """(source, target, path_no, position, id, name, file_path): shortest paths between all symbols of two names, in one search."""

@@ -395,6 +395,18 @@ def graph_edges(spark, d):
     return X.edges(spark, d).where("resolved").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "kind")
 
 
+@query(f"WITH {X.EDGES} SELECT source_id AS src, target_id AS dst, max(kind) AS kind FROM edges WHERE resolved GROUP BY ALL")
+def simple_graph(spark, d):
+    return graph.kinds(X.edges(spark, d))
+
+
+@query("WITH " + X.SUPPLIES + ", g AS (SELECT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id HAVING count(*) >= 20) SELECT src, dst, src IN (SELECT id FROM g) OR dst IN (SELECT id FROM g) AS highlighted FROM e")
+def highlighted_edges(spark, d):
+    """Edges at god objects."""
+    e = X.supplies(spark, d)
+    return graph.highlighted(e, graph.god_objects(graph.degrees(e, graph.vertices(e)), top=None))
+
+
 @query(f"WITH {X.EDGES} SELECT e.source_id, e.target_id, coalesce(s.qualified_name, list_extract(string_split(e.target_id, '::'), -1)) AS target_name, coalesce(list_extract(string_split(e.source_id, '::'), -1)) AS source_name FROM edges e LEFT JOIN symbols s ON s.id = e.target_id")
 def edge_names(spark, d):
     """Display names: of the symbol, or the id's last part."""

@@ -13,7 +13,7 @@ from jobs import architecture_report, refresh_index
 
 
 def job1_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(part, id, other, kind, n) of the index of pages: files, symbols and edges."""
+    """(part, id, other, kind, n) of the index of pages: files, symbols, references and edges."""
     out = shared_folder(spark, "job1")
     for _ in range(2):
         refresh_index.run(spark, f"{sf_dir.rstrip('/')}/pages.parquet", out)
@@ -21,6 +21,7 @@ def job1_refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = {
         "files": (F.col("path"), F.col("content_hash"), none, F.col("line_count")),
         "symbols": (F.col("id"), F.col("file_path"), F.col("kind"), F.col("start_line")),
+        "refs": (F.col("source_id"), F.col("ref_text"), F.col("kind"), F.lit(0)),
         "edges": (F.col("source_id"), F.col("target_id"), F.col("kind"), F.col("resolved").cast("int")),
     }
     parts = [refresh_index.current(spark, out, t).select(F.lit(t).alias("part"), a.alias("id"), b.alias("other"), c.alias("kind"), n.cast("long").alias("n")) for t, (a, b, c, n) in rows.items()]
@@ -31,6 +32,7 @@ JOB1_SQL = f"""WITH {X.EDGES}
 SELECT 'files' AS part, {X.PAGE_PATH} AS id, sha256(coalesce(html, '')) AS other, NULL::VARCHAR AS kind,
   (length(coalesce(html, '')) - length(replace(coalesce(html, ''), chr(10), '')) + 1)::BIGINT AS n FROM pages
 UNION ALL SELECT 'symbols', id, file_path, kind, start_line::BIGINT FROM symbols
+UNION ALL SELECT 'refs', source_id, ref_text, kind, 0 FROM refs
 UNION ALL SELECT 'edges', source_id, target_id, kind, resolved::BIGINT FROM edges"""
 
 

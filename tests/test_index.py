@@ -25,7 +25,8 @@ def test_index_and_changes(spark, tmp_path):
     assert edges["src/J.java::J", "pkg/b.py::Tool", "inherits"]
     assert [(r.path_no, r.position, r.id, r.name) for r in views.trace("main", "helper").collect()] == [(1, 1, "pkg/a.py::main", "main"), (1, 2, "pkg/b.py::helper", "helper")]
     assert {r.id for r in views.related("helper").where("relation = 'caller'").collect()} == {"pkg/a.py::main", "pkg/b.py::Tool.use", "src/J.java::J.go"}
-    assert views.hotspots(1).first().id == "src/J.java::J"
+    best = views.hotspots(1).first()
+    assert (best["rank"], best.id) == (1, "src/J.java::J")
     # A new symbol catches an old reference; a deleted file's symbols go and edges to them stay unresolved.
     (root / "pkg/c.py").write_text("def missing():\n    pass\n")
     (root / "pkg/b.py").unlink()
@@ -36,7 +37,8 @@ def test_index_and_changes(spark, tmp_path):
     assert edges["pkg/a.py::main", "pkg/c.py::missing", "calls"] and not edges["pkg/a.py::main", "helper", "calls"]
     made = plan.summarize(spark, str(root), folder)
     assert made["asked"] == 3 and made["files"] == 3 and made["directories"] == 2
-    assert plan.summarize(spark, str(root), folder)["asked"] == 0
+    again = plan.summarize(spark, str(root), folder)
+    assert (again["asked"], again["skipped"], again["errors"]) == (0, 3, 0)
     views = plan.Views(store.Index(spark, folder))
     assert answer(views, str(root), "/api/overview")[1]["files"] == 3
     assert answer(views, str(root), "/api/symbol/pkg/a.py::main")[0] == 200
