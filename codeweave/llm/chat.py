@@ -52,7 +52,7 @@ def unescape(c: Column) -> Column:
 
 def _totals(turns: DataFrame) -> DataFrame:
     """Adds `before`, the tokens of the conversation's turns before this one, and `place`, how many there are."""
-    chunk = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / CHUNK_TURNS)
+    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-(1 << 63)))  # null turns come before all others
     rows = turns.withColumn("chunk", chunk)
     sums = rows.groupBy("conv_id", "chunk").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
     w = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -307,6 +307,15 @@ def test_chat(spark):
     assert chat.windows(c.limit(0)).count() == 0
 
 
+def test_chat_of_null_and_negative_turns(spark):
+    """Null turns first, then by number; internal names are free for other columns."""
+    turns = [-3000, 5000, None, -1, 0, -(1 << 62)]
+    rows = [(1, t, "user", str(t)) for t in turns]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({x: F.lit(7) for x in ("tokens", "span", "before", "place", "chunk")})
+    back = chat.parse(chat.windows(c)).orderBy("window").collect()
+    assert [t.text for w in back for t in w.turns[w.repeated :]] == ["None", str(-(1 << 62)), "-3000", "-1", "0", "5000"]
+
+
 # --- op7
 
 
