@@ -16,7 +16,7 @@ Defined results: a null URL, or one without `://`, has host and path '' and is j
 are in lower case, nothing else is; of fitting rules of equal length the one greatest in code-point order wins; labels
 other than 0 and 1 and null URLs aren't learnt from; a URL labelled both ways counts for both; without labelled URLs every
 verdict is allow, with one class it is that class; repeated rows and null ids are judged like any other; an empty table
-gives no rows; other columns are kept by judge() whatever their names, unless they clash with those it adds.
+gives no rows; other columns are kept by judge() whatever their names, but those named as one it adds are replaced.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ MOST_RULES = 10_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "block", "allow"
+ADDED = ("host", "path", "rule", "probability", "verdict")
 
 
 @dataclass(frozen=True)
@@ -253,6 +254,8 @@ def _tree(table: DataFrame, model: Model) -> tuple[list[dict[int, tuple[str, flo
 def judge(pages: DataFrame, rules: Sequence[Rule], model: Model) -> DataFrame:
     """pages (url, …) → their columns with host, path, rule, probability of being blocked (null where a rule decides) and verdict."""
     url = F.col("url")
+    kept = [c for c in pages.columns if c.lower() not in ADDED]
+    pages = pages.select(*kept)
     name = "url_facts"
     while any(c.lower().startswith(name) for c in pages.columns):
         name += "_"

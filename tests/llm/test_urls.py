@@ -35,7 +35,7 @@ def entropy(s):
 
 
 def test_parts_rules_and_features(spark):
-    df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(URLS)], "page_id long, url string, url_facts_hit string")
+    df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(URLS)], "page_id long, url string, url_facts_hit string").withColumns({"Host": F.lit(1), "rule": F.lit("clash")})
     rules = [*urls.RULES, urls.rule("a.net/", "allow"), urls.rule("b.c.org/fr/x", "block"), urls.rule("example.com/de/", "block")]
     x = urls.lexical(F.col("url"))
     got = {r.page_id: r for r in urls.judge(df, rules, urls.Model()).collect()}
