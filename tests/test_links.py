@@ -7,7 +7,7 @@ from codeweave.plans.queries import QUERIES, SQL
 from jobs import queries as jobs
 
 N = 150
-NAMES = ["resolve_edges"]
+NAMES = ["resolve_edges", "degrees"]
 
 
 @pytest.fixture(scope="module")
