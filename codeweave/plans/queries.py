@@ -382,9 +382,7 @@ def overview_density(spark, d):
 SELECT s.id, s.name, s.kind, s.file_path AS "filePath", coalesce(i, 0)::INTEGER AS "inDegree", coalesce(o, 0)::INTEGER AS "outDegree", coalesce(i, 0) + coalesce(o, 0) >= 20 AS god FROM symbols s LEFT JOIN i USING (id) LEFT JOIN o USING (id)""")
 def graph_nodes(spark, d):
     """Symbols with their metrics, 0 where there are none."""
-    s, e = X.symbols(spark, d), _metric_edges(spark, d)
-    m = graph.degrees(e, graph.vertices(e))
-    rows = s.join(m, "id", "left")
+    rows = X.symbols(spark, d).join(graph.link_degrees(X.links(spark, d)), "id", "left")
     i, o = F.coalesce("in_degree", F.lit(0)), F.coalesce("out_degree", F.lit(0))
     return rows.select("id", "name", "kind", F.col("file_path").alias("filePath"), i.alias("inDegree"), o.alias("outDegree"), (i + o >= 20).alias("god"))
 
