@@ -7,7 +7,7 @@ from codeweave.plans.queries import QUERIES, SQL
 from jobs import queries as jobs
 
 N = 150
-NAMES = ["resolve_edges", "degrees", "graph_nodes"]
+NAMES = ["resolve_edges", "degrees", "graph_nodes", "orphans"]
 
 
 @pytest.fixture(scope="module")
