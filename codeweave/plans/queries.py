@@ -181,7 +181,7 @@ def resolve_delta(spark, d):
 
 @query(f"WITH {X.EDGES} SELECT count(*)::BIGINT AS edges, sum(resolved::INTEGER)::BIGINT AS resolved, round(avg(resolved::INTEGER), 6) AS ratio FROM edges")
 def resolution_ratio(spark, d):
-    return resolve.resolution_ratio(X.edges(spark, d))
+    return resolve.resolution_ratio(X.links(spark, d))
 
 
 # --- graph
