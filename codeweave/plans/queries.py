@@ -173,10 +173,11 @@ def resolve_delta(spark, d):
     """The edges after every seventh page is deleted, from those before: only names of the deleted pages resolve again."""
     pages = X.table(spark, d, "pages")
     gone, left = pages.where("page_id % 7 = 0"), pages.where("page_id % 7 <> 0")
-    before = graph.cut(resolve.by_name(X.refs_of(pages), X.symbols_of(pages)))
-    before = before.join(X.page_files_of(gone).withColumnRenamed("path", "file"), F.substring_index("source_id", "::", 1) == F.col("file"), "left_anti")
+    before = resolve.stored(resolve.links(graph.cut(resolve.names(X.refs_of(pages))), graph.cut(X.symbols_of(pages).select("id", "name")), "leaf"))
+    before = store.delete_links(before, X.page_files_of(gone))
     touched = resolve.touched((X.refs_of(gone), X.symbols_of(gone)), (X.refs_of(gone.limit(0)), X.symbols_of(gone.limit(0))))
-    return resolve.maintained(before, X.refs_of(left), X.symbols_of(left), graph.cut(touched)).select("source_id", "target_id", "kind", "resolved")
+    after = resolve.relinked(before, graph.cut(resolve.names(X.refs_of(left))), graph.cut(X.symbols_of(left).select("id", "name")), graph.cut(touched))
+    return resolve.stored(after).edges().select("source_id", "target_id", "kind", "resolved")
 
 
 @query(f"WITH {X.EDGES} SELECT count(*)::BIGINT AS edges, sum(resolved::INTEGER)::BIGINT AS resolved, round(avg(resolved::INTEGER), 6) AS ratio FROM edges")
