@@ -7,7 +7,7 @@ from codeweave.plans.queries import QUERIES, SQL
 from jobs import queries as jobs
 
 N = 150
-NAMES = ["resolve_edges", "degrees", "graph_nodes", "orphans", "resolution_ratio", "resolve_delta", "simple_graph", "symbol_neighbours"]
+NAMES = ["resolve_edges", "degrees", "graph_nodes", "orphans", "resolution_ratio", "resolve_delta", "simple_graph", "symbol_neighbours", "cascade_delete"]
 
 
 @pytest.fixture(scope="module")
