@@ -239,7 +239,7 @@ def orphans(spark, d):
 SELECT file_path, count(*)::BIGINT AS edge_count FROM ends JOIN symbols USING (id) GROUP BY file_path ORDER BY edge_count DESC, file_path LIMIT 10""")
 def hub_files(spark, d):
     """The report's ten files with the most edges."""
-    return graph.hub_files(_metric_edges(spark, d), X.symbols(spark, d))
+    return graph.degree_hubs(graph.link_degrees(X.links(spark, d)), X.symbols(spark, d))
 
 
 def _rank_sql(graph: str) -> str:
