@@ -375,7 +375,7 @@ def scc_cycles(spark, d):
 def overview_density(spark, d):
     """Unresolved edges count too."""
     n = X.symbols(spark, d).agg(F.count("*").alias("symbols"))
-    m = X.edges(spark, d).agg(F.count("*").alias("edges"))
+    m = resolve.counts(X.links(spark, d)).select("edges")
     density = F.when(F.col("symbols") > 1, F.col("edges") / (F.col("symbols") * (F.col("symbols") - 1.0))).otherwise(0.0)
     return n.crossJoin(m).select("symbols", "edges", F.round(density, 9).cast("double").alias("density"))  # a row each
 
