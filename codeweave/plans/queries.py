@@ -34,12 +34,11 @@ def query(sql: str | None):
 
 @query(f"WITH {X.FILES}, {X.EDGES} SELECT 'files' AS name, count(*)::BIGINT AS n FROM files UNION ALL SELECT 'symbols', count(*) FROM symbols UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'resolved', count(*) FROM edges WHERE resolved UNION ALL SELECT 'summaries', count(*) FROM pages WHERE page_id % 3 = 0")
 def stats_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = X.edges(spark, d)
-    parts = {"files": X.files(spark, d), "symbols": X.symbols(spark, d), "edges": e, "resolved": e.where("resolved"), "summaries": X.summaries(spark, d)}
-    out = None
+    parts = {"files": X.files(spark, d), "symbols": X.symbols(spark, d), "summaries": X.summaries(spark, d)}
+    n = resolve.counts(X.links(spark, d))
+    out = n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in n.columns])))
     for name, df in parts.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
     return out
 
 
