@@ -208,10 +208,6 @@ def neighborhood(spark, d):
     return graph.neighbourhood(e, graph.vertices(e).agg(F.min("id")).first()[0])[1]
 
 
-def _metric_edges(spark, d) -> DataFrame:
-    return graph.simple_edges(X.edges(spark, d))
-
-
 @query(f"""WITH {X.EDGES}, e AS (SELECT DISTINCT source_id AS src, target_id AS dst FROM edges WHERE resolved), v AS (SELECT id FROM symbols UNION SELECT src FROM e UNION SELECT dst FROM e)
 SELECT id, (SELECT count(*) FROM e WHERE dst = id)::INTEGER AS in_degree, (SELECT count(*) FROM e WHERE src = id)::INTEGER AS out_degree FROM v""")
 def degrees(spark, d):
@@ -646,8 +642,8 @@ def display_text(spark, d):
 @query(f"WITH {X.EDGES} SELECT s.id, s.kind, s.start_line, count(DISTINCT e.source_id)::BIGINT AS n_callers FROM symbols s LEFT JOIN edges e ON e.target_id = s.id AND e.kind = 'calls' WHERE s.name = '{NAME}' GROUP BY ALL")
 def symbol_info(spark, d):
     s = X.symbols(spark, d).where(F.col("name") == NAME)
-    e = X.edges(spark, d).where("kind = 'calls'").groupBy("target_id").agg(F.count("*").alias("n"))
-    return s.join(e, s.id == e.target_id, "left").select("id", "kind", "start_line", F.coalesce("n", F.lit(0)).cast("long").alias("n_callers"))
+    e = resolve.callers(X.links(spark, d))
+    return s.join(e, s.id == e.target_id, "left").select("id", "kind", "start_line", F.coalesce("n_callers", F.lit(0)).cast("long").alias("n_callers"))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
