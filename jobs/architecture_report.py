@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweave.functions.text import ancestors
-from codeweave.operators import graph
-from codeweave.operators.resolve import resolve
+from codeweave.operators import graph, resolve
+from codeweave.operators.resolve import Links
 from codeweave.operators.tables import cut
 from codeweave.plans import fixtures
 
@@ -47,18 +47,17 @@ def _ranked(rows: DataFrame, section: str, top: int | None = None) -> DataFrame:
     return rows.select(rank.alias("rank"), "name", F.col("n").cast("long").alias("n"), F.lit(section).alias("section"))
 
 
-def sections(files: DataFrame, symbols: DataFrame, edges: DataFrame, config: dict) -> list[DataFrame]:
-    """files (path, language, content_hash), symbols and edges of an index → the report's sections."""
+def sections(files: DataFrame, symbols: DataFrame, links: Links, config: dict) -> list[DataFrame]:
+    """files (path, language, content_hash), symbols and links of an index → the report's sections."""
     top = config["top"]
-    e = cut(graph.simple_edges(edges), "report")
-    degree = cut(graph.degrees(e, graph.vertices(e, symbols)), "report")
+    degree = cut(graph.link_degrees(links, symbols), "report")
     count = F.count("*").alias("n")
     directories = files.select(F.explode(ancestors(F.col("path"))).alias("name")).groupBy("name").agg(count)
     copies = files.groupBy("content_hash").agg(F.min("path").alias("name"), count).where("n > 1")
     gods = graph.god_objects(degree, config["god_degree"], top).select(F.col("id").alias("name"), F.col("degree").alias("n"))
-    hubs = graph.hub_files(e, symbols, top).select(F.col("file_path").alias("name"), F.col("edge_count").alias("n"))
+    hubs = graph.degree_hubs(degree, symbols, top).select(F.col("file_path").alias("name"), F.col("edge_count").alias("n"))
     lone = graph.orphans(degree, None).join(symbols.select("id", "file_path"), "id").groupBy(F.col("file_path").alias("name")).agg(count)
-    cycles = graph.components(e).groupBy(F.col("component").alias("name")).agg(count)
+    cycles = graph.link_components(links).groupBy(F.col("component").alias("name")).agg(count)
     return [
         _ranked(files.groupBy(F.col("language").alias("name")).agg(count), "languages"),
         _ranked(directories, "directories"),
@@ -76,8 +75,8 @@ def run(spark: SparkSession, documents: str, pages: str, out: str, config: dict
     docs, found = spark.read.parquet(documents), spark.read.parquet(pages)
     LOG.info("reading %s (%d rows) and %s (%d rows)", documents, docs.count(), pages, found.count())
     symbols = cut(fixtures.symbols_of(found), "report")
-    edges = cut(resolve(fixtures.refs_of(found), symbols), "report")
-    report = cut(reduce(DataFrame.unionByName, sections(fixtures.files_of(docs), symbols, edges, config)), "report")
+    links = resolve.stored(resolve.links(cut(resolve.names(fixtures.refs_of(found)), "report"), symbols))
+    report = cut(reduce(DataFrame.unionByName, sections(fixtures.files_of(docs), symbols, links, config)), "report")
     report.write.mode("overwrite").partitionBy("section").orc(out)
     for r in report.groupBy("section").count().orderBy("section").collect():
         LOG.info("wrote %d rows of %s to %s", r["count"], r.section, out)

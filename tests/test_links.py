@@ -7,7 +7,7 @@ from codeweave.plans.queries import QUERIES, SQL
 from jobs import queries as jobs
 
 N = 150
-NAMES = ["resolve_edges", "degrees", "graph_nodes", "orphans", "resolution_ratio", "resolve_delta", "simple_graph", "symbol_neighbours", "cascade_delete", "callees", "callers", "edge_names", "hub_files", "graph_edges", "overview_density", "stats_counts", "symbol_info", "job1_refresh_index"]
+NAMES = ["resolve_edges", "degrees", "graph_nodes", "orphans", "resolution_ratio", "resolve_delta", "simple_graph", "symbol_neighbours", "cascade_delete", "callees", "callers", "edge_names", "hub_files", "graph_edges", "overview_density", "stats_counts", "symbol_info", "job1_refresh_index", "job2_architecture_report"]
 
 
 @pytest.fixture(scope="module")
