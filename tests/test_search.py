@@ -62,6 +62,17 @@ def test_moves(spark):
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_shingles_of_one_state_go_no_further(spark, monkeypatch):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    old = [(k, f"o{k}", words(k)) for k in range(20)]
+    new = [(k, f"n{k}", words(k) + " more" if k < 2 else words(k + 100)) for k in range(20)]
+    kept = []
+    monkeypatch.setattr(renames, "cut", lambda df, name: kept.append(df) or df)
+    got = renames.similar(*(spark.createDataFrame(x, "key long, path string, text string") for x in (old, new))).collect()
+    assert {(x.old_path, x.new_path) for x in got} == {("o0", "n0"), ("o1", "n1")} and all(abs(x.similarity - 56 / 57) < 1e-12 for x in got)
+    assert kept[0].count() == 2 * 2 * 56
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_maintained_edges(spark, seed):
     r = random.Random(seed)
