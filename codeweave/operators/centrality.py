@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweave import schemas
@@ -20,6 +20,8 @@ ROUNDS = 5
 DENSE = 256
 #: (source, vertex) pairs that a batch of betweenness' sources may have.
 PAIRS = 1_000_000_000
+#: Sources that go side by side in a row.
+WIDTH = 12
 
 
 def pagerank(edges: DataFrame, v: DataFrame, mode: str = "fixed", damping: float = 0.85, rounds: int = 100) -> DataFrame:
@@ -111,54 +113,81 @@ def _round(nodes: DataFrame, cold: DataFrame, hot: DataFrame | None, limit: int,
 def betweenness(edges: DataFrame, v: DataFrame, exact: int = schemas.EXACT_VERTICES, sample: int = 500, seed: int = 42) -> DataFrame:
     """(id, betweenness), directed, over (n - 1)(n - 2): Brandes' sums from every source, or from `sample` seeded ones.
 
-    All sources of a batch go forward together, level by level: rows (source, vertex, shortest paths) of a level meet the
-    edges and leave out what the source has seen. Then what vertices owe to their predecessors flows back, a level at a
-    time, over the same joins. The seeded sources are those whose id and seed have the smallest MD5; their sums count
-    n / sample times.
+    All sources of a batch go forward together, level by level, WIDTH of them side by side in a row: rows (id, side,
+    shortest paths from each of the side's sources) meet the edges, and what a source has seen is left out. Then what
+    vertices owe to their predecessors flows back, a level at a time, over the same edges. Edges are written twice, in
+    buckets of either end, and stay there: a level shuffles a number for each edge and source that it follows, added up
+    in each task first, and no edges. The seeded sources are those whose id and seed have the smallest MD5; their sums
+    count n / sample times.
     """
+    spark = edges.sparkSession
     v, n = counted(v.select("id"))
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    e, m = counted(edges.select("src", "dst").where("src <> dst"))
     chosen = n if n <= exact else min(n, sample)
+    if not chosen or not m:
+        return v.withColumn("betweenness", F.lit(0.0))
     sources = v if n <= exact else v.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(sample)
     sources = cut(sources)
-    scale = (n / chosen if chosen else 1.0) / max(1, (n - 1) * (n - 2))
+    scale = (n / chosen) / max(1, (n - 1) * (n - 2))
     batches = max(1, -(-chosen * n // PAIRS))
+    tasks = max(1, -(-max(m, n) // PER_TASK))
     parts = []
-    for b in range(batches):
-        mine = sources.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b) if batches > 1 else sources
-        parts += _owed(e, _levels(e, mine))
-    if not parts:
-        return v.withColumn("betweenness", F.lit(0.0))
-    sums = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("owed").alias("owed"))
+    with settings(spark, spark__sql__shuffle__partitions=tasks, spark__sql__autoBroadcastJoinThreshold=-1, spark__sql__adaptive__enabled=False):
+        down = bucketed(e, "src", tasks, distinct=True)
+        up = bucketed(down, "dst", tasks)
+        for b in range(batches):
+            mine = sources.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b) if batches > 1 else sources
+            parts += _owed(up, _levels(down, mine, n, tasks), tasks)
+        if not parts:
+            return v.withColumn("betweenness", F.lit(0.0))
+        sums = cut(reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("owed").alias("owed")))
     return v.join(sums, "id", "left").select("id", (F.coalesce("owed", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def _levels(e: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """(source, id, paths) of each level, the sources themselves first."""
-    levels = [sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths"))]
-    seen = levels[0].select("source", "id")
+def _columns(name: str) -> list[str]:
+    return [f"{name}{k}" for k in range(WIDTH)]
+
+
+def _mask(columns: list[str]) -> Column:
+    """A bit for each column that isn't null."""
+    return reduce(Column.bitwiseOR, (F.when(F.col(c).isNotNull(), 1 << k).otherwise(0) for k, c in enumerate(columns)))
+
+
+def _levels(down: DataFrame, sources: DataFrame, n: int, tasks: int) -> list[DataFrame]:
+    """(id, side, mask, p0, ...) of each level, the sources themselves first: the shortest paths from each of the side's sources, null if it isn't of this level; mask: a bit for each that is."""
+    paths = _columns("p")
+    place = F.row_number().over(Window.orderBy("id")) - 1  # over a batch's sources only
+    first = sources.withColumn("place", place).select("id", F.expr(f"place div {WIDTH}").cast("int").alias("side"), *[F.when(F.col("place") % WIDTH == k, 1.0).alias(c) for k, c in enumerate(paths)])
+    levels = [bucketed(first.withColumn("mask", _mask(paths)), "id", tasks)]
+    seen, reached, goal = levels[0].select("id", "side", "mask"), 0, None
     while True:
-        step = levels[-1].join(e, F.col("id") == F.col("src")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        new, rows = counted(step.join(seen, ["source", "id"], "left_anti"))
-        if not rows:
+        now = levels[-1].select(F.sum(F.bit_count("mask"))).first()[0]
+        if not now:
+            return levels[:-1]
+        reached += now
+        goal = goal or now * n
+        if reached == goal:  # every source has seen every vertex
             return levels
-        levels.append(new)
-        seen = seen.unionByName(new.select("source", "id"))
+        step = down.join(levels[-1].hint("shuffle_hash"), down["src"] == levels[-1]["id"]).groupBy(F.col("dst").alias("id"), "side").agg(*[F.sum(c).alias(c) for c in paths])
+        was = seen.groupBy(F.col("id").alias("_id"), F.col("side").alias("_side")).agg(F.bit_or("mask").alias("mask"))
+        got = step.withColumn("got", _mask(paths)).join(was, (F.col("id") == F.col("_id")) & (F.col("side") == F.col("_side")), "left")
+        got = got.withColumn("mask", F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0))))).where("mask <> 0")
+        fresh = [F.when(F.col("mask").bitwiseAND(1 << k) != 0, F.col(c)).alias(c) for k, c in enumerate(paths)]
+        levels.append(bucketed(got.select("id", "side", "mask", *fresh), "id", tasks))
+        seen = seen.unionByName(levels[-1].select("id", "side", "mask"))
         if len(levels) % 16 == 0:  # not a table more to read for every level
             seen = cut(seen)
 
 
-def _owed(e: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
+def _owed(up: DataFrame, levels: list[DataFrame], tasks: int) -> list[DataFrame]:
     """(id, owed) of each level but the sources': of every shortest path through a vertex the share that ends beyond it."""
-    below = levels[-1].withColumn("owed", F.lit(0.0))
-    out = []
-    for k in range(len(levels) - 1, 0, -1):
+    paths, owed, each = _columns("p"), _columns("o"), _columns("e")
+    below, out = levels[-1].select("*", *[F.when(F.col(c).isNotNull(), 0.0).alias(o) for c, o in zip(paths, owed, strict=True)]), []
+    for k in range(len(levels) - 2, 0, -1):
+        sent = below.select("id", "side", *[((F.col(o) + 1) / F.col(c)).alias(x) for c, o, x in zip(paths, owed, each, strict=True)])
+        got = up.join(sent.hint("shuffle_hash"), up["dst"] == sent["id"]).groupBy(F.col("src").alias("_id"), F.col("side").alias("_side")).agg(*[F.sum(x).alias(x) for x in each])
+        above = levels[k].join(got, (F.col("id") == F.col("_id")) & (F.col("side") == F.col("_side")), "left")
+        rows = above.select("id", "side", *paths, *[(F.col(c) * F.coalesce(x, F.lit(0.0))).alias(o) for c, x, o in zip(paths, each, owed, strict=True)])
+        below = bucketed(rows.withColumn("owed", reduce(Column.__add__, (F.coalesce(o, F.lit(0.0)) for o in owed))), "id", tasks)
         out.append(below.select("id", "owed").where("owed > 0"))
-        if k == 1:
-            break
-        ends = below.select("source", F.col("id").alias("dst"), ((F.col("owed") + 1) / F.col("paths")).alias("each"))
-        step = levels[k - 1].join(e, F.col("id") == F.col("src")).join(ends, ["source", "dst"])
-        got = step.groupBy("source", "id").agg(F.sum(F.col("paths") * F.col("each")).alias("owed"))
-        below = levels[k - 1].join(got, ["source", "id"], "left").select("source", "id", "paths", F.coalesce("owed", F.lit(0.0)).alias("owed"))
-        below = cut(below)
     return out

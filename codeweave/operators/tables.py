@@ -52,11 +52,15 @@ def counted(df: DataFrame, name: str = "graph", of: str = "true") -> tuple[DataF
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
-def bucketed(df: DataFrame, key: str, parts: int, name: str = "graph") -> DataFrame:
-    """As cut(), in `parts` buckets of key: joins and aggregates on it need no exchange, if they have as many partitions."""
+def bucketed(df: DataFrame, key: str, parts: int, name: str = "graph", distinct: bool = False) -> DataFrame:
+    """As cut(), in `parts` buckets of key: joins and aggregates on it need no exchange, if they have as many partitions.
+
+    distinct: equal rows once, by the same exchange.
+    """
     spark = df.sparkSession
     table = f"codeweave_{uuid.uuid4().hex}"
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", shared_folder(spark, name)).format("parquet").saveAsTable(table)
+    dealt = df.repartition(parts, key)
+    (dealt.distinct() if distinct else dealt).write.bucketBy(parts, key).option("path", shared_folder(spark, name)).format("parquet").saveAsTable(table)
     out = spark.table(table)
     out.schema  # analysed before its name goes; the files stay
     spark.sql(f"DROP TABLE {table}")

@@ -125,7 +125,7 @@ def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b")).where("a <> b")
     name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
-    return rows.select(name("a").alias("src"), name("b").alias("dst"), "a", "b").distinct()
+    return rows.distinct().select(name("a").alias("src"), name("b").alias("dst"), "a", "b")
 
 
 FOLLOWS = """e AS MATERIALIZED (SELECT DISTINCT 'p' || a AS src, 'p' || b AS dst, a, b FROM (SELECT l_partkey AS a,

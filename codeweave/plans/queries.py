@@ -334,7 +334,7 @@ b(k, s, v, c, owed) AS (SELECT k, s, v, c, 0.0::DOUBLE FROM q WHERE k = (SELECT
 SELECT v.id, round(coalesce(sum(b.owed), 0) * (n.n / 12.0::DOUBLE) / ((n.n - 1) * (n.n - 2)), 9) AS betweenness FROM v CROSS JOIN n LEFT JOIN b ON b.v = v.id AND b.k > 0 GROUP BY v.id, n.n""")
 def betweenness_sample(spark, d):
     """Parts, from twelve seeded sources."""
-    e = X.follows(spark, d).select("src", "dst")
+    e = graph.cut(X.follows(spark, d).select("src", "dst"))
     return graph.betweenness(e, graph.vertices(e), exact=0, sample=12).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 

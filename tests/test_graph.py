@@ -174,6 +174,27 @@ def test_betweenness_by_model(spark, monkeypatch):
     assert rows(graph.betweenness(none, graph.vertices(none))) == []
 
 
+def shuffled(spark):
+    """Rows that each stage so far has written to a shuffle."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_betweenness_shuffles_edges_twice_only(spark):
+    """To buckets of either end; a level then shuffles a row for an edge and twelve sources at most, either way."""
+    pairs = random_edges(5, 300, 2000)
+    e = tables.cut(edges(spark, pairs))
+    v = tables.cut(graph.vertices(e))
+    before = set(shuffled(spark))
+    with tables.settings(spark, spark__sql__autoBroadcastJoinThreshold=-1):
+        got = dict(rows(graph.betweenness(e, v, exact=5, sample=12)))
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    moved = sum(n for k, n in shuffled(spark).items() if k not in before)
+    want = model_betweenness(pairs, sorted(got, key=lambda x: hashlib.md5(f"{x}42".encode()).hexdigest())[:12])
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert moved < 20_000, moved
+
+
 def model_traces(pairs, a, b, most):
     ids = {x for p in pairs for x in p}
     if a not in ids or b not in ids:
