@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -370,53 +371,76 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+MANIFEST = pa.schema([("part", pa.string()), ("file", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, order: list[Column] | None = None) -> DataFrame:
-    """docs (doc_id long, text string) → files in `folder`, in ascending order of doc_id or of other columns; returns their manifest."""
-    spark = docs.sparkSession
+def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, place: list[Column] | None = None) -> DataFrame:
+    """docs (doc_id long, text string) → files in `folder`, in ascending order of doc_id; returns their manifest.
+
+    place: a string column and one of row numbers, whose order is the files' instead. Rows are taken as they are read then,
+    without a shuffle: a file has rows of one string and of numbers in a row, and the manifest orders the files.
+    """
+    spark, placed = docs.sparkSession, place is not None
     shared.ship(spark)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
+        task, k = f"{TaskContext.get().partitionId():010d}", 0
         coder = encoder(tokenizer)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        first, after = ("", 0), ("", 0)  # places of what is held, and of what would go on from there
 
         def flush() -> pa.RecordBatch:
             nonlocal k
             doc_ids, null, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             data = file_bytes(doc_ids, null, lengths, ids)
-            name = f"{folder}/part-{part:06d}-{k:06d}.s8b"
+            name = f"{folder}/part-{task}-{k:06d}.s8b"
             system, path = _files(name)
             system.create_dir(path.rpartition("/")[0], recursive=True)
             temporary = f"{path}.{uuid.uuid4().hex}"
             with system.open_output_stream(temporary) as f:
                 f.write(data)
             system.move(temporary, path)
-            row = pa.record_batch([[part], [k], [name], [len(doc_ids)], [len(ids)]], schema=MANIFEST)
+            row = pa.record_batch([[first[0]], [first[1]], [name], [len(doc_ids)], [len(ids)]], schema=MANIFEST)
             k += 1
             return row
 
-        for batch in batches:
-            doc_ids, null = batch["doc_id"].fill_null(0).to_numpy(), batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in runs(batch["text"], 1 << 18):
-                ids, at = coder.encode(data, offsets)
-                ended = np.full(len(ids) + j - i, end_id, np.uint32)
-                ended[np.arange(len(ids)) + np.repeat(np.arange(j - i), np.diff(at))] = ids
-                held.append((doc_ids[i:j], null[i:j], np.diff(at) + 1, ended))
-                if sum(len(x[3]) for x in held) >= FILE_IDS:
+        for whole in batches:
+            for batch in _stretches(whole) if placed else [whole]:
+                if not batch.num_rows:
+                    continue
+                at = (batch["by_0"][0].as_py(), batch["by_1"][0].as_py()) if placed else after
+                if held and at != after:
                     yield flush()
+                doc_ids, null = batch["doc_id"].fill_null(0).to_numpy(), batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
+                for i, j, data, offsets in runs(batch["text"], 1 << 18):
+                    if not held:
+                        first = (at[0], at[1] + i) if placed else (task, k)
+                    ids, cut = coder.encode(data, offsets)
+                    ended = np.full(len(ids) + j - i, end_id, np.uint32)
+                    ended[np.arange(len(ids)) + np.repeat(np.arange(j - i), np.diff(cut))] = ids
+                    held.append((doc_ids[i:j], null[i:j], np.diff(cut) + 1, ended))
+                    if sum(len(x[3]) for x in held) >= FILE_IDS:
+                        yield flush()
+                after = (at[0], at[1] + batch.num_rows) if placed else after
         if held:
             yield flush()
 
     # Rows of one id are dealt out by their text's hash, so many of them are no task's burden.
-    by = order or [F.col("doc_id"), F.xxhash64("text")]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(f"by_{n}") for n, c in enumerate(by)])
-    names = [f"by_{n}" for n in range(len(by))]
-    ordered = keyed.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
-    return shared.stored(ordered.mapInArrow(shared.lean(each), "part int, file int, path string, n_docs long, n_ids long"), "manifest")
+    by = place or [F.col("doc_id"), F.xxhash64("text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c.alias(f"by_{n}") for n, c in enumerate(by)])
+    if not placed:
+        names = [f"by_{n}" for n in range(len(by))]
+        rows = rows.repartitionByRange(*names).sortWithinPartitions(*names).select("doc_id", "text")
+    return shared.stored(rows.mapInArrow(shared.lean(each), "part string, file long, path string, n_docs long, n_ids long"), "manifest")
+
+
+def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with one by_0 and by_1 in a row."""
+    name, number = batch["by_0"], batch["by_1"].to_numpy()
+    other = pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False) | (np.diff(number) != 1) if batch.num_rows else np.zeros(0, bool)
+    cut = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+    return (batch.slice(i, j - i) for i, j in zip(cut[:-1], cut[1:], strict=True))
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -437,7 +461,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 stop = np.cumsum(lengths)
                 crc = [zlib.crc32(data[4 * (b - n) : 4 * b]) for n, b in zip(lengths.tolist(), stop.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (np.full(len(doc_ids), part, np.int32), np.full(len(doc_ids), k, np.int32), pa.array(doc_ids, mask=null), stop - lengths, lengths, np.array(crc, np.int64))],
+                    [pa.array(x) for x in (pa.repeat(part, len(doc_ids)), np.full(len(doc_ids), k, np.int64), pa.array(doc_ids, mask=null), stop - lengths, lengths, np.array(crc, np.int64))],
                     ["part", "file", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
 
@@ -447,7 +471,7 @@ def read(manifest: DataFrame) -> DataFrame:
     files = manifest.select("part", "file", F.coalesce(F.sum("n_ids").over(before("part", "file")), F.lit(0)).alias("file_start"))
     starts = files.join(parts, "part").select("part", "file", (F.col("part_start") + F.col("file_start")).alias("base"))
     tasks = max(1, min(manifest.count(), 8 * spark.sparkContext.defaultParallelism))
-    rows = manifest.select("part", "file", "path").repartition(tasks).mapInArrow(shared.lean(each), "part int, file int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    rows = manifest.select("part", "file", "path").repartition(tasks).mapInArrow(shared.lean(each), "part string, file long, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return rows.join(shared.small(starts, 100_000), ["part", "file"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -28,8 +28,9 @@ def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = shared.unused(docs.columns, "near_key")
     told, again = shared.keyed(docs, key)
     classes = neardup.classes(told.select(F.col(key).alias("doc_id"), "text"))
-    heads = shared.stored(classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(key)).distinct(), "kept")
-    kept = told.join(heads, key, "left_semi")
+    # Those that go are few, so they are sent to the texts.
+    others = shared.stored(classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(key)).distinct(), "others")
+    kept = told.join(shared.small(others, 200_000), key, "left_anti")
     return (kept.dropDuplicates([key]) if again else kept).select(*docs.columns)
 
 
@@ -53,12 +54,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, in the order of its files, with a row for each document in them."""
-    order = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
     try:
-        docs.select(*order)
+        docs.select(*place)
     except AnalysisException:  # not as they were read from files: by doc_id then
-        order = None
-    return tokens.read(tokens.write(docs, shared.place(spark, "tokens"), order=order))
+        place = None
+    return tokens.read(tokens.write(docs, shared.place(spark, "tokens"), place=place))
 
 
 STAGES = [("toxicity", toxic_out), ("near_dedup", near_out), ("decontamination", leaks_out), ("mixing", mixed), ("token_files", token_files)]

@@ -133,6 +133,50 @@ def test_stages(spark, tables):
         start += len(ids)
 
 
+def shuffles(spark, work):
+    """What work() returns, and the rows of each shuffle that it wrote."""
+    store, none = spark._jsc.sc().statusStore(), spark._sc._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, none, None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+    before, out = written(), work()
+    return out, [n for k, n in written().items() if k not in before]
+
+
+def test_token_files_shuffle_no_texts(spark, tmp_path):
+    """Texts are taken as they are read, several files and batches a task; files' order stands."""
+    rows = [(k * 37 % 101, prose(k % 9, k)) for k in range(300)]
+    for k in range(3):
+        pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows[k::3]], pa.int64()), "text": [r[1] for r in rows[k::3]]}), str(tmp_path / f"{k}.parquet"))
+    docs = spark.read.parquet(str(tmp_path)).coalesce(1)
+    stage = dict(corpus_pipeline.STAGES)["token_files"]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    former = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        out, moved = shuffles(spark, lambda: shared.stored(stage(spark, docs, str(tmp_path)), "test-tokens"))
+    finally:
+        spark.conf.set(batch, former)
+    assert max(moved, default=0) < 50
+    assert [r.doc_id for r in out.orderBy("start").collect()] == [r[0] for k in range(3) for r in rows[k::3]]
+
+
+def test_near_out_shuffles_no_texts(spark, tables):
+    """The documents that go are sent to the texts, however small a table Spark broadcasts by itself."""
+    docs = shared.stored(shared.table(spark, tables, "documents").dropDuplicates(["doc_id"]).where("doc_id is not null"), "test-docs")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    former = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = corpus_pipeline.near_out(spark, docs, tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, former)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_empty(spark, tables):
     docs = shared.table(spark, tables, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
