@@ -463,6 +463,19 @@ def test_lines_recall(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("words, times", [(6, 6), (40, 1)])
+def test_lines_of_common_words_are_seldom_compared(spark, monkeypatch, words, times):
+    """Unlike lines that share their common words only; pairs must not grow with the square of their number."""
+    r, some = random.Random(31), "of the in and to on".split()
+    rare = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    texts = [" ".join(f"{rare()} {' '.join(r.choices(some, k=2))}" for _ in range(words // 3)) for _ in range(2000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    compared, real = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    assert lines.dropped(d).count() == 0
+    assert sum(compared) < times * len(texts)
+
+
 @pytest.mark.parametrize("n", [24, 48, 96])
 def test_lines_a_word_longer(spark, n):
     rows = [(2 * k + j, prose(n, 700 + k) + " appended" * j) for k in range(40) for j in (0, 1)]
