@@ -6,6 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from codeweave.operators import resolve
+from codeweave.plans.queries import QUERIES
 
 
 def test_edges_of_a_popular_name_are_whole_and_small(spark, tmp_path):
@@ -18,3 +19,11 @@ def test_edges_of_a_popular_name_are_whole_and_small(spark, tmp_path):
     edges = spark.read.parquet(out)
     assert edges.groupBy("leaf").agg(F.count("*"), F.count_distinct(F.xxhash64("source_id", "target_id"))).sort("leaf").collect() == [("cold", 27, 27), ("hot", n * m, n * m)]
     assert sum(map(os.path.getsize, Path(out).glob("*.parquet"))) < 0.4 * n * m
+
+
+def test_names_are_not_made_for_every_edge(spark, tmp_path):
+    rows = [(k, f"http://x/{k}", '<title>the hot</title><a href="/the"><a href="/none">') for k in range(20)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = QUERIES["edge_names"](spark, str(tmp_path))
+    assert "substring_index" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.where("source_name = '__module__'").count() == 20 * 20 + 20
