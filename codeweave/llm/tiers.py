@@ -147,7 +147,9 @@ def build(docs: DataFrame, tiers: tuple[int, ...] = TIERS, segment_bytes: int =
                 yield segment(number, batch["doc_id"].slice(i, j - i), data, offsets, n_docs, n_terms, tiers)
                 number += j - i
 
-    docs.mapInArrow(shared.lean(each), schema(tiers)).write.parquet(index.segments)
+    # A row group holds a segment: it is written and read whole, and Parquet looks at its size every hundred rows only.
+    groups = {"parquet.block.size": max(segment_bytes // 8, 1), "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+    docs.mapInArrow(shared.lean(each), schema(tiers)).write.options(**groups).parquet(index.segments)
     parts = segments(spark, index).select(F.explode(F.arrays_zip("terms", "sizes")).alias("t"))
     parts.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.sizes").alias("df")).write.parquet(index.terms)
     return index
